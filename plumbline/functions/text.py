@@ -7,18 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Word edges for any script; the plain word boundary differs between Java versions.
+_EDGE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 TRUNCATION_MARK = "\n[... truncated]"    # fixed value
 
 
 def keyword_group(text: Column, words: Sequence[str]) -> Column:
     """How often any surface form of one concept occurs, case-insensitive whole words."""
-    return F.regexp_count(F.lower(text), F.lit(r"\b(" + "|".join(words) + r")\b")).cast("bigint")
+    return F.regexp_count(F.lower(text), F.lit(_EDGE[0] + "(" + "|".join(words) + ")" + _EDGE[1])).cast("bigint")
 
 
 def number_after(text: Column, word: str) -> Column:
     """The first number written directly before ``word`` ("3 days"), else NULL."""
     found = F.regexp_extract(F.lower(text), rf"(\d+)\s*{word}", 1)
-    return F.when(found != "", found.try_cast("double") if hasattr(found, "try_cast") else found.cast("double"))
+    return F.when(found != "", found.try_cast("double"))
 
 
 def density(text: Column, pattern: str) -> Column:
@@ -35,7 +37,7 @@ def style_features(text: Column, informal: Sequence[str]) -> Mapping[str, Column
         "question_density": density(text, r"\?"),
         "digit_density": density(text, "[0-9]"),
         "currency_mentions": F.regexp_count(text, F.lit(r"[$€£]\s*[0-9]")).cast("bigint"),
-        "time_mentions": F.regexp_count(F.lower(text), F.lit(r"\b([0-9]+\s*(hour|day|week|month|year)s?)\b")).cast("bigint"),
+        "time_mentions": F.regexp_count(F.lower(text), F.lit(_EDGE[0] + r"[0-9]+\s*(hour|day|week|month|year)s?" + _EDGE[1])).cast("bigint"),
         "informal_ratio": F.try_divide(keyword_group(text, informal).cast("double"), words),
     }
 
