@@ -6,7 +6,9 @@ metric starts from a map-side partial aggregate; label metrics then work on the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,16 +182,21 @@ def fit_temperature(df: DataFrame, classes: Sequence, bounds: tuple[float, float
     Each pass tries a log-spaced grid in one aggregate and narrows to the neighbours of the best point.
     """
     lo, hi = bounds
-    own = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int")
+    grid = max(6, min(grid, 2000 // max(1, len(classes))))
+    # one logarithm per class up front; the grid then is plain arithmetic that compiles into the scan
+    logs = df.select(F.col("label"), *[F.log(F.col("proba")[i]).alias(f"z{i}") for i in range(len(classes))])
+    z = [F.col(f"z{i}") for i in range(len(classes))]
+    own = F.coalesce(*[F.when(F.col("label") == F.lit(c), z[i]) for i, c in enumerate(classes)])
 
     def loss(t):
-        p = F.try_element_at(apply_temperature(F.col("proba"), t), own)
-        return F.avg(-F.log(F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1 - EPSILON))))
+        total = reduce(lambda a, b: a + b, [F.coalesce(F.exp(x / t), F.lit(0.0)) for x in z])
+        cap, floor = -math.log(EPSILON), -math.log1p(-EPSILON)
+        return F.avg(F.greatest(F.least(F.coalesce(F.log(total) - own / t, F.lit(cap)), F.lit(cap)), F.lit(floor)))
 
     plain = best = None
     for _ in range(passes):
         points = _log_grid(lo, hi, grid)
-        row = df.agg(loss(1.0).alias("t1"), *[loss(t).alias(f"t_{i}") for i, t in enumerate(points)]).first()
+        row = logs.agg(loss(1.0).alias("t1"), *[loss(t).alias(f"t_{i}") for i, t in enumerate(points)]).first()
         plain = row["t1"]
         i = min(range(grid), key=lambda j: row[f"t_{j}"])
         best = (points[i], row[f"t_{i}"])
