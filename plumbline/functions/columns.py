@@ -112,12 +112,3 @@ def all_of(conditions) -> Column:
 
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
-
-
-def correlation(x: Column, y: Column) -> Column:
-    """Aggregate: Pearson r over rows where both are present, NULL when either is constant there."""
-    xx = F.when(y.isNotNull(), x)
-    yy = F.when(x.isNotNull(), y)
-    varies = (F.min(xx) < F.max(xx)) & (F.min(yy) < F.max(yy))
-    spread = F.stddev_pop(xx) * F.stddev_pop(yy)
-    return F.when(varies, F.try_divide(F.covar_pop(xx, yy), spread))

@@ -32,7 +32,7 @@ def style_features(text: Column, informal: Sequence[str]) -> Mapping[str, Column
     words = F.regexp_count(text, F.lit(r"[A-Za-z']+")).cast("double")
     return {
         "upper_ratio": F.try_divide(F.regexp_count(text, F.lit("[A-Z]")).cast("double"),
-                                    F.regexp_count(text, F.lit("[A-Za-z]"))),
+                                    F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))),
         "exclamation_density": density(text, "!"),
         "question_density": density(text, r"\?"),
         "digit_density": density(text, "[0-9]"),

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
-    INTEGRAL, PERIOD_KINDS, TEMPORAL, all_of, col_type, correlation, is_correlatable, is_floating, is_number,
-    is_temporal, is_text, keyed_hash, ordinal_time, parse_time)
+    PERIOD_KINDS, all_of, col_type, is_correlatable, is_floating, is_number, is_temporal, is_text, keyed_hash, parse_time)
 from plumbline.operators.ordering import column_quantiles
 
 # Thresholds of the profile and its flags.
@@ -29,19 +28,14 @@ TEXT_MIN_NON_NULL = 30
 TEXT_EXAMPLES = 6
 TEXT_EXAMPLE_CHARS = 160
 
+_BLOCK = 9           # correlations per aggregate
 _HEAD_ROWS = 1_000   # rows looked at first for examples; a miss falls back to the whole column
 
 
-def approx_distinct(df: DataFrame, name: str) -> Column:
+def approx_distinct(name: str) -> Column:
     """Aggregate: a HyperLogLog estimate (about 1.6 % error) held in one binary buffer per column."""
-    q, t = F.col(f"`{name}`"), col_type(df, name)
-    if isinstance(t, INTEGRAL):
-        q = q.cast("bigint")
-    elif isinstance(t, TEMPORAL):
-        q = ordinal_time(df, name)
-    elif not is_text(t):
-        q = q.cast("string")
-    return F.hll_sketch_estimate(F.hll_sketch_agg(q, F.lit(12)))
+    q = F.col(f"`{name}`")
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(q.isNotNull(), F.xxhash64(q)), F.lit(12)))
 
 
 def _long(row: DataFrame, entries: Sequence[Column]) -> DataFrame:
@@ -53,7 +47,7 @@ def profile(df: DataFrame, target: str, *, distinct: str = "exact") -> DataFrame
 
     ``distinct`` is ``"exact"``, ``"approx"`` (HyperLogLog, one scan without a value shuffle) or
     ``"screened"``: approximate first, then exact counts only for columns that could reach a flag
-    threshold. Text columns that merely look like dates need :func:`probe_datetime`.
+    threshold; continuous columns are only told apart from constants (``n_unique`` NULL when they vary). Text columns that merely look like dates need :func:`probe_datetime`.
     """
     names = df.columns
     if distinct == "exact":
@@ -83,23 +77,23 @@ def profile(df: DataFrame, target: str, *, distinct: str = "exact") -> DataFrame
 def _sketched_counts(df: DataFrame, refine: bool) -> DataFrame:
     """One row ``n, f0, u0, f1, u1, ...`` (rows, filled, distinct) from one scan with sketches.
 
-    Constants are exact. With ``refine`` every column that could reach a flag threshold is counted
-    exactly in a second scan of just those columns; half the lowest threshold is some thirty standard
-    errors of the sketch away. Kept apart because sketches and exact distincts in one aggregate would
-    build a sketch per value.
+    With ``refine`` every column that could reach a flag threshold is counted exactly in a second scan
+    of just those columns: possible constants, and anything above half the lowest share threshold,
+    some thirty standard errors of the sketch below it. Kept apart because sketches and exact distincts
+    in one aggregate would build a sketch per value.
     """
     names = df.columns
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(names):
-        q = F.col(f"`{c}`")
-        aggs += [F.count(q).alias(f"f{i}"), approx_distinct(df, c).alias(f"u{i}"), (F.min(q) < F.max(q)).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    unique = {i: 0 if row[f"f{i}"] == 0 else max(2, row[f"u{i}"]) if row[f"s{i}"] else 1 for i in range(len(names))}
-    near = [i for i, c in enumerate(names) if refine and unique[i] > 1 and not is_floating(col_type(df, c))
-            and unique[i] / row["n"] >= HIGH_CARD_TEXT / 2]
-    if near:
-        exact = df.agg(*[F.count_distinct(F.col(f"`{names[i]}`")).alias(f"u{i}") for i in near]).first()
-        unique.update({i: exact[f"u{i}"] for i in near})
+    plain = {i for i, c in enumerate(names) if refine and is_floating(col_type(df, c))}
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(names)],
+                 *[(F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`")) if i in plain else approx_distinct(c)).alias(f"u{i}")
+                   for i, c in enumerate(names)]).first()
+    unique = {i: (None if row[f"u{i}"] else min(1, row[f"f{i}"])) if i in plain else row[f"u{i}"] or 0 for i in range(len(names))}
+    if refine:
+        near = [i for i in range(len(names)) if i not in plain and (
+            unique[i] <= 3 or unique[i] / row["n"] >= HIGH_CARD_TEXT / 2)]
+        if near:
+            exact = df.agg(*[F.count_distinct(F.col(f"`{names[i]}`")).alias(f"u{i}") for i in near]).first()
+            unique.update({i: exact[f"u{i}"] for i in near})
     fields = ["n bigint"] + [f"f{i} bigint, u{i} bigint" for i in range(len(names))]
     flat = [row["n"]] + [v for i in range(len(names)) for v in (row[f"f{i}"], unique[i])]
     return df.sparkSession.createDataFrame([tuple(flat)], ", ".join(fields))
@@ -196,23 +190,27 @@ def numeric_target(df: DataFrame, target: str) -> Column | None:
 
 
 def correlations(df: DataFrame, target: str, columns: Sequence[str] | None = None, min_pairs: int = 0) -> DataFrame:
-    """``(column, n_pairs, r_abs)`` against the target for all numeric columns, in one aggregate."""
+    """``(column, n_pairs, r_abs)`` against the target for all numeric columns; NULL where one side is constant.
+
+    Columns go through in blocks, each its own column-pruned aggregate: more buffers than about a
+    hundred in one aggregate would switch compiled execution off.
+    """
     y = numeric_target(df, target)
     names = [c for c in (columns or df.columns) if c != target and c in df.columns]
-    rows = []
-    aggs = []
-    for i, c in enumerate(names):
-        if y is not None and is_correlatable(col_type(df, c)):
+    usable = [c for c in names if y is not None and is_correlatable(col_type(df, c))]
+    spark = df.sparkSession
+    schema = "column string, n_pairs bigint, r_abs double"
+    out = spark.createDataFrame([(c, 0, None) for c in names if c not in usable], schema)
+    for start in range(0, len(usable), _BLOCK):
+        block = usable[start:start + _BLOCK]
+        aggs, rows = [], []
+        for i, c in enumerate(block):
             x = F.col(f"`{c}`").cast("double")
-            aggs += [correlation(x, y).alias(f"r{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-            value = F.when(F.col(f"n{i}") >= min_pairs, F.abs(F.col(f"r{i}")))
-            pairs = F.col(f"n{i}")
-        else:
-            value, pairs = F.lit(None).cast("double"), F.lit(0).cast("bigint")
-        rows.append(F.struct(F.lit(c).alias("column"), pairs.alias("n_pairs"), value.alias("r_abs")))
-    if not rows:
-        return df.sparkSession.createDataFrame([], "column string, n_pairs bigint, r_abs double")
-    return _long(df.agg(F.count(F.lit(1)).alias("n"), *aggs), rows)
+            aggs += [F.regr_count(y, x).alias(f"n{i}"), F.regr_r2(y, x).alias(f"r{i}"), F.regr_syy(y, x).alias(f"s{i}")]
+            value = F.when((F.col(f"n{i}") >= min_pairs) & (F.col(f"s{i}") > 0), F.sqrt(F.col(f"r{i}")))
+            rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_pairs"), value.alias("r_abs")))
+        out = out.unionByName(_long(df.agg(*aggs), rows))
+    return out
 
 
 def leak_scan(df: DataFrame, target: str) -> DataFrame:
@@ -235,7 +233,7 @@ def looks_like_classes(df: DataFrame, target: str) -> bool:
     y = F.col(f"`{target}`")
     if not is_number(col_type(df, target)):
         return True
-    row = df.agg(approx_distinct(df, target).alias("a"), (F.count_if(y != F.floor(y)) == 0).alias("w")).first()
+    row = df.agg(approx_distinct(target).alias("a"), (F.count_if(y != F.floor(y)) == 0).alias("w")).first()
     if not row["w"] or row["a"] > 4 * MAX_CLASS_VALUES:
         return False
     return df.select(y).where(y.isNotNull()).distinct().limit(MAX_CLASS_VALUES + 1).count() <= MAX_CLASS_VALUES

@@ -125,7 +125,7 @@ def fit(train: DataFrame, target: str, learner: Learner, *, exclude: Sequence[st
         return (ordinal_time(df, c) / 1e6 if c in times else F.col(f"`{c}`")).cast("double")
 
     facts = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(as_number(train, c)).alias(f"m_{i}") for i, c in enumerate(numbers + times)],
-                      *[approx_distinct(train, c).alias(f"u_{i}") for i, c in enumerate(texts)]).first()
+                      *[approx_distinct(c).alias(f"u_{i}") for i, c in enumerate(texts)]).first()
     means = {c: facts[f"m_{i}"] for i, c in enumerate(numbers + times) if facts[f"m_{i}"] is not None}
     levels = [c for i, c in enumerate(texts) if facts[f"u_{i}"] <= 0.9 * MAX_LEVELS]
     hashed = [c for c in texts if c not in levels]
