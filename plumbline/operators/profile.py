@@ -126,7 +126,7 @@ def examples(df: DataFrame, key: str, columns: Sequence[str] | None = None, *, c
     A bounded head answers for columns that vary early; only the others are grouped over the whole
     table, one column-pruned scan each.
     """
-    names = [c for c in (columns or df.columns)]
+    names = [c for c in (df.columns if columns is None else columns)]
     k = F.col(f"`{key}`")
 
     def long(source, cols):
@@ -160,7 +160,7 @@ def probe_datetime(df: DataFrame, key: str, columns: Sequence[str] | None = None
     """
     spark = df.sparkSession
     out = None
-    for c in columns or df.columns:
+    for c in df.columns if columns is None else columns:
         t = col_type(df, c)
         q = F.col(f"`{c}`")
         if is_text(t):
@@ -196,7 +196,7 @@ def correlations(df: DataFrame, target: str, columns: Sequence[str] | None = Non
     hundred in one aggregate would switch compiled execution off.
     """
     y = numeric_target(df, target)
-    names = [c for c in (columns or df.columns) if c != target and c in df.columns]
+    names = [c for c in (df.columns if columns is None else columns) if c != target and c in df.columns]
     usable = [c for c in names if y is not None and is_correlatable(col_type(df, c))]
     spark = df.sparkSession
     schema = "column string, n_pairs bigint, r_abs double"
@@ -262,7 +262,7 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
 
 def text_measures(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(name, n_non_null, n_unique, len_mean, len_max)`` for every text column, one aggregate."""
-    names = [c for c in (columns or df.columns) if is_text(col_type(df, c))]
+    names = [c for c in (df.columns if columns is None else columns) if is_text(col_type(df, c))]
     aggs, rows = [], []
     for i, c in enumerate(names):
         q = F.col(f"`{c}`")
