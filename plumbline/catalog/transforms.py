@@ -258,8 +258,8 @@ _EMPTY = U.UserFeature("empty", lambda t: None, lambda df, p: F.when(F.col("o_cu
 
 
 def _share_of_batch(df, params):
-    total = df.agg(F.avg("o_custkey").alias("_m"))     # one row: the batch mean the check must catch
-    return df.join(F.broadcast(total)).withColumn("gen_share", F.col("o_custkey") / F.col("_m")).drop("_m")
+    """Depends on the rest of the batch: what the independence check must catch."""
+    return F.col("o_custkey") / F.lit(df.agg(F.avg("o_custkey")).first()[0])
 
 
 _SHARE = U.UserFeature("share", lambda t: None, _share_of_batch)

@@ -234,6 +234,26 @@ def tiles(df: DataFrame, group: Column | None, time: Column, key: str, k: int, n
     return ranked.withColumn(name, (tile + 1).cast("bigint")).drop("_g", "_t", "rank", "group_rank", "group_size")
 
 
+def heads(df: DataFrame, group: Column | None, time: Column, key: str, fraction: float, name: str = "in_head") -> DataFrame:
+    """Mark the first round(n x fraction) rows of every group by ``(time, key)``.
+
+    As :func:`tiles`: cut points and a projection for few groups, one ranking for many.
+    """
+    work = df.withColumn("_g", _group_col(group)).withColumn("_t", time).where("_g IS NOT NULL AND _t IS NOT NULL")
+    if work.select("_g").distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        ranked = global_rank(work, ["_g", "_t", key], group=["_g"])
+        return (ranked.withColumn(name, F.col("group_rank") <= F.floor(F.col("group_size") * fraction + 0.5))
+                .drop("_g", "_t", "rank", "group_rank", "group_size"))
+    cuts = tuple_cuts(work, F.col("_t"), key, lambda g, n: [int(n * fraction + 0.5)], F.col("_g"))
+    schema = T.StructType([T.StructField("_g", work.schema["_g"].dataType), T.StructField("_ct", work.schema["_t"].dataType),
+                           T.StructField("_ck", work.schema[key].dataType)])
+    # one row per group, at most MAX_GROUPS
+    table = df.sparkSession.createDataFrame([(g, *cut) for g, (_, at) in cuts.items() for cut in at.values()], schema)
+    t, k = F.col("_t"), F.col(f"`{key}`")
+    inside = (t < F.col("_ct")) | ((t == F.col("_ct")) & (F.col("_ck").isNull() | (k <= F.col("_ck"))))
+    return work.join(F.broadcast(table), "_g", "left").withColumn(name, F.coalesce(inside, F.lit(False))).drop("_g", "_t", "_ct", "_ck")
+
+
 def running_counts(scores: DataFrame, order: str, sums: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Add ``<sum>_below``: the total of each column over rows with a smaller ``order`` in the group.
 

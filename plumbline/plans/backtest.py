@@ -24,26 +24,23 @@ def future_features(df: DataFrame, target: str, suspects: Sequence[str]) -> Data
 def split_design(df: DataFrame, target: str, time: str, key: str, *, n_origins: int = 3, test_frac: float = 0.1,
                  embargo_frac: float = 0.05, learner: Learner | None = None, metric: str | None = None) -> DataFrame | None:
     """One row: how much a backtest without a gap overstates quality. None when no origin is possible."""
-    long = embargo_origins(df, time, key, n_origins=n_origins, test_frac=test_frac, embargo_frac=embargo_frac).persist()
-    try:
-        origins = sorted(r.fold for r in long.select("fold").distinct().collect())
-        if not origins:
-            return None
-        classes = class_list(df, target) if looks_like_classes(df, target) else None
-        metric = metric or default_metric(classes)
-        rows = []
-        for i in origins:
-            part = long.where(F.col("fold") == i)
-            test = part.where("role = 'test'").drop("fold", "role")
-            pair = []
-            for role in ("naive_train", "embargo_train"):
-                fitted = fit(part.where(F.col("role") == role).drop("fold", "role"), target, learner or forest(),
-                             exclude=[key], classes=classes)
-                pred = fitted.predict(test, [key, F.col(f"`{target}`").alias("label")])
-                pair.append(float(score_frame(pred, metric, classes).first().score))
-            rows.append((i, *pair, True))
-    finally:
-        long.unpersist()
+    long = embargo_origins(df, time, key, n_origins=n_origins, test_frac=test_frac, embargo_frac=embargo_frac)
+    origins = sorted(r.fold for r in long.select("fold").distinct().collect())
+    if not origins:
+        return None
+    classes = class_list(df, target) if looks_like_classes(df, target) else None
+    metric = metric or default_metric(classes)
+    rows = []
+    for i in origins:
+        part = long.where(F.col("fold") == i)
+        test = part.where("role = 'test'").drop("fold", "role")
+        pair = []
+        for role in ("naive_train", "embargo_train"):
+            fitted = fit(part.where(F.col("role") == role).drop("fold", "role"), target, learner or forest(),
+                         exclude=[key], classes=classes)
+            pred = fitted.predict(test, [key, F.col(f"`{target}`").alias("label")])
+            pair.append(float(score_frame(pred, metric, classes).first().score))
+        rows.append((i, *pair, True))
     pairs = df.sparkSession.createDataFrame(rows, "origin bigint, naive double, corrected double, higher_is_better boolean")
     return D.backtest_gap(pairs.withColumn("metric", F.lit(metric)), ["metric"])
 
