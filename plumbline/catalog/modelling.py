@@ -194,14 +194,14 @@ def _check(spark, d):
 
 @query("run_cv_job")
 def _run(spark, d):
-    o = priced_orders(spark, d)
-    test = o.where(F.col("o_orderkey") % 10 == 0).drop("amount")
+    m = S.holdout(priced_orders(spark, d), "o_orderkey", 0.1)
+    train, test = m.where("NOT held_out").drop("held_out"), m.where("held_out").drop("held_out", "amount")
     plans = W.Plans(folds={"strategy": "time_local", "time_column": "o_orderdate", "period_column": "month_of:o_orderdate"},
                     ordinals=[{"column": "o_orderpriority", "order": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]}],
                     cleaning={"columns_to_drop": ["o_orderstatus"]},
                     features={"features": [{"op": "date_parts", "column": "o_orderdate", "parts": ["year", "month"]}]},
                     try_log_target=True)
-    run = W.run_cv(o.where(F.col("o_orderkey") % 10 != 0), "amount", "o_orderkey", plans, test=test, learner=L.tree())
+    run = W.run_cv(train, "amount", "o_orderkey", plans, test=test, learner=L.tree())
     return run.submission
 
 
@@ -212,9 +212,9 @@ def _run_holdout(spark, d):
 
 @query("submission")
 def _submission(spark, d):
-    o = priced_orders(spark, d)
-    fitted = L.fit(o.where(F.col("o_orderkey") % 4 != 0), "amount", L.tree(), exclude=["o_orderkey"])
-    return W.label_submission(fitted.predict(o.where(F.col("o_orderkey") % 4 == 0), ["o_orderkey"]), "o_orderkey", "amount", clip=True)
+    m = S.holdout(priced_orders(spark, d), "o_orderkey", 0.25)
+    fitted = L.fit(m.where("NOT held_out").drop("held_out"), "amount", L.tree(), exclude=["o_orderkey"])
+    return W.label_submission(fitted.predict(m.where("held_out"), ["o_orderkey"]), "o_orderkey", "amount", clip=True)
 
 
 @query("paired_run")

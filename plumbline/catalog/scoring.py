@@ -295,8 +295,10 @@ def _one(spark, d):
     return ledger(spark, d).where(~((F.col("task") < "task_05") & (F.col("fold") > 0))).withColumn("base_std", F.lit(0.002))
 
 
-@query("improves", f"""with {LED}, {_ONE} select task, seed, n, round(mean_delta, 8) as delta, case when n >= 2 then better else mean_delta > 0.004 end as accepted, false as no_effect
-    from {paired_sql('one', _SGN, 'task, seed', '(case when n > 1 then 1.0::double / (n - 1) else 0 end)')}""")
+@query("improves", f"""with {LED}, {_ONE}, same as (select task, seed, bool_and(base = trial) as same from one group by 1, 2),
+    p as (select task, seed, n, mean_delta, case when n >= 2 then better else mean_delta > 0.004 end as accepted
+    from {paired_sql('one', _SGN, 'task, seed', '(case when n > 1 then 1.0::double / (n - 1) else 0 end)')})
+    select task, seed, n, round(mean_delta, 8) as delta, accepted, same and not accepted as no_effect from p join same using (task, seed)""")
 def _improves(spark, d):
     return _rounded(D.improves(_one(spark, d), ["task", "seed"]), "delta")
 

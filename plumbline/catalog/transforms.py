@@ -106,7 +106,7 @@ def _per_fold(spark, d):
         F.count("*").alias("n"), F.round(F.min(F.when(F.col("gap"), F.col("o_totalprice"))), 4).alias("filled"),
         F.round(F.sum("o_totalprice") / F.count("*"), 4).alias("mean_price"),
         F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
-        F.min(F.when(F.col("gap2"), F.col("o_orderpriority"))).alias("filled_priority"))
+        F.array_join(F.collect_set(F.when(F.col("gap2"), F.col("o_orderpriority"))), ",").alias("filled_priority"))
 
 
 # ---- features ------------------------------------------------------------------------------
