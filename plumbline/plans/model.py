@@ -27,7 +27,7 @@ from plumbline.operators.folds import make_folds
 from plumbline.operators.metrics import METRICS, log_loss, roc_auc
 from plumbline.operators.profile import approx_distinct, looks_like_classes
 from plumbline.operators.userfeatures import UserFeature, add_features
-from plumbline.session import stable
+from plumbline.session import cached_if_small, stable
 
 MAX_LEVELS = 100        # text columns with more levels are hashed instead of indexed
 HASH_BUCKETS = 4096
@@ -217,18 +217,19 @@ def cross_validate(df: DataFrame, target: str, key: str, *, k: int = 3, seed: in
     """Leakage-free cross-validation: every statistic of every plan is fitted on its fold's training rows.
 
     A target transform is fitted forward and inverted before scoring, so scores stay in original units.
-    The fold relation stays a plan: k copies of the table are never cached. Persist ``df`` yourself when
-    it is expensive to read; the predictions are written once.
+    The fold relation stays a plan unless its counted rows are few: k copies of a large table are never
+    cached. Persist ``df`` yourself when it is expensive to read; the predictions are written once.
     """
     df = df.where(F.col(f"`{target}`").isNotNull())
     classes = class_list(df, target) if looks_like_classes(df, target) else None
     metric = metric or default_metric(classes)
     label = target if classes is not None and stratified else None
     long = make_folds(df, folds or {}, key, k, label=label, seed=seed, splitter=splitter)
-    ids = sorted(r.fold for r in long.select("fold").distinct().collect())
+    sizes = {r.fold: r["count"] for r in long.groupBy("fold").count().collect()}
+    ids = sorted(sizes)
 
-    def one(i: int) -> DataFrame:
-        part = long.where(F.col("fold") == i)
+    def one(relation: DataFrame, i: int) -> DataFrame:
+        part = relation.where(F.col("fold") == i)
         train, held = (part.where(F.col("role") == r).drop("fold", "role") for r in ("train", "validate"))
         for plan, fitter in ((cleaning, fit_cleaning), (features, fit_features)):
             if plan:
@@ -240,9 +241,9 @@ def cross_validate(df: DataFrame, target: str, key: str, *, k: int = 3, seed: in
         keep = [F.col(f"`{key}`"), F.lit(i).cast("bigint").alias("fold"), F.col(f"`{target}`").alias("label")]
         return fitted.predict(held, keep + ([F.col(f"`{weight}`")] if weight else []))
 
-    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        parts = list(pool.map(one, ids))
-    oof = stable(reduce(DataFrame.unionByName, parts))
+    with cached_if_small(long, sum(sizes.values())) as relation, ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        parts = list(pool.map(lambda i: one(relation, i), ids))
+        oof = stable(reduce(DataFrame.unionByName, parts))
     scores = {r.fold: r.score for r in score_frame(oof, metric, classes, ["fold"]).collect()}
     return CVResult(metric, [float(scores[i]) for i in ids], oof, classes, ids)
 
