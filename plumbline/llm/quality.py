@@ -76,7 +76,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "*", grams.alias("grams"), F.size(w).cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin(list(SYMBOLS)))).cast("long").alias("n_symbol_lines"))
+        F.size(F.filter("lines", lambda x: F.substring(F.translate(x, SPACES, ""), 1, 1).isin(list(SYMBOLS)))).cast("long").alias("n_symbol_lines"))
     # hash and place in one number: neighbours in sorted order with equal hashes are candidates
     place = F.transform("grams", lambda h, i: F.shiftleft(F.shiftright(h, 32), 31).bitwiseOR(i.cast("long")))
     df = df.withColumn("sorted", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.array_sort(place)))
