@@ -46,6 +46,16 @@ for _name, _strategy, _column, _sql in (
     query(_name, f"with {SPLIT} select o_orderkey, is_train, {_shown} as {_column} from parts")(_impute)
 
 
+@query("impute_whole_numbers", """with g as (select c_custkey, case when c_custkey % 7 <> 0 then c_nationkey end as k from customer)
+    select c_custkey, coalesce(k::double, (select median(k) from g)) as by_median, round(coalesce(k::double, (select avg(k) from g)), 6) as by_mean from g""")
+def _whole(spark, d):
+    """Averages of a whole-number column with gaps keep their fraction."""
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("by_median"), F.lit(0).alias("y"))
+    c = c.withColumn("by_mean", F.col("by_median"))
+    plan = {"imputations": [{"column": "by_median", "strategy": "median"}, {"column": "by_mean", "strategy": "mean"}]}
+    return C.fit_cleaning(c, plan, "y").transform(c).select("c_custkey", "by_median", F.round("by_mean", 6).alias("by_mean"))
+
+
 @query("impute_const", f"with {SPLIT} select o_orderkey, is_train, coalesce(o_orderpriority, 'UNKNOWN') as o_orderpriority from parts")
 def _const(spark, d):
     return _replayed(spark, d, "constant", "o_orderpriority", fill_value="UNKNOWN")
