@@ -58,6 +58,30 @@ def _time(spark, d):
     return S.time_folds(o, "o_orderdate", "o_orderkey", 4).drop("o_orderdate")
 
 
+_GT = """t as (select o_orderkey, case when o_orderkey % 3 <> 0 then o_orderdate end as d from orders),
+    p as (select *, row_number() over (order by d nulls last, o_orderkey) as p, count(*) over () as n from t)"""
+
+
+@query("fold_time_gaps", f"""with {_GT}, w as (select p.*, f.fold, n - (5 - f.fold) * (n // 6) as start from p, {_LONG.format(k=5)})
+    select o_orderkey, fold, case when p <= start then 'train' else 'validate' end as role from w where p <= start + n // 6""")
+def _time_gaps(spark, d):
+    """A third of the rows has no time; fold edges fall among them."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("d"))
+    return S.time_folds(o, "d", "o_orderkey", 5).drop("d")
+
+
+_GG = "e as (select event_id, case when user_id % 5 <> 0 then user_id end as u from events)"
+
+
+@query("fold_group_gaps", f"""with {_GG}, g as (select u, count(*) as n_rows from e group by 1),
+    deal as (select u, {_deal('row_number() over (order by n_rows desc, u nulls last)', 4)} as own from g)
+    select event_id, own from e join deal on e.u is not distinct from deal.u""")
+def _group_gaps(spark, d):
+    """Rows without an entity stay together and are not lost."""
+    e = table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("u"))
+    return S.assign_group(e, "u", 4).select("event_id", "own")
+
+
 _LOCAL = f"""b as (select o_orderkey, o_orderdate, month(o_orderdate) as m, ntile(4) over (partition by month(o_orderdate) order by o_orderdate, o_orderkey) - 1 as b from orders),
     loc as (select o_orderkey, o_orderdate, m, fold, case when b <= fold then 'train' else 'validate' end as role from b, {_LONG.format(k=3)} where b <= fold + 1)"""
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -191,10 +192,11 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], *, group: Sequence
               .drop("_part", "_before", "_at"))
     if not group:
         return ranked
-    spans = ranked.groupBy(*group).agg(F.min(name).alias("_first"), F.count("*").alias("group_size"))
+    spans = ranked.groupBy(*[F.col(f"`{g}`").alias(f"_span_{i}") for i, g in enumerate(group)]).agg(F.min(name).alias("_first"), F.count("*").alias("group_size"))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{g}`").eqNullSafe(F.col(f"_span_{i}")) for i, g in enumerate(group)])
     # no hint: the adaptive planner broadcasts the spans when small and splits hot groups when not
-    return (ranked.join(spans, list(group))
-            .withColumn("group_rank", F.col(name) - F.col("_first") + 1).drop("_first"))
+    return (ranked.join(spans, same).withColumn("group_rank", F.col(name) - F.col("_first") + 1)
+            .drop("_first", *[f"_span_{i}" for i in range(len(group))]))
 
 
 def tile_ends(n: int, k: int) -> list[int]:
