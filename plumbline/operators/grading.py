@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.metrics import METRICS
+from plumbline.operators.metrics import METRICS, score_table
 
 
 def pair(answer: DataFrame, submission: DataFrame, key: str, target: str) -> DataFrame:
@@ -20,15 +20,21 @@ def uncovered(answer: DataFrame, submission: DataFrame, key: str) -> DataFrame:
     return answer.join(submission.select(key), key, "left_anti")
 
 
+def coverage(answer: DataFrame, submission: DataFrame, key: str, target: str) -> DataFrame:
+    """One row per key of the answer: ``(key, label, pred, given)`` with the number of submitted rows."""
+    sent = submission.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.count(F.lit(1)).alias("given"), F.first(f"`{target}`").alias("pred"))
+    return answer.select(key, F.col(f"`{target}`").alias("label")).join(sent, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left").drop("_key").fillna({"given": 0})
+
+
 def grade(answer: DataFrame, submission: DataFrame, key: str, target: str, metric: str) -> DataFrame:
-    """The metric over the whole answer key; an incomplete or repeated submission is an error."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}, known: {sorted(METRICS)}")
-    matched = pair(answer, submission, key, target)
-    n, hit = answer.count(), matched.count()
-    if n != hit:
-        raise ValueError(f"the submission matches {hit} rows for {n} rows of the answer key")
-    return METRICS[metric](matched).withColumn("n", F.lit(n).cast("bigint"))
+    """The metric over the whole answer key; a missing or repeated key of the submission is an error."""
+    if metric not in METRICS and metric != "f1":
+        raise ValueError(f"unknown metric {metric!r}, known: {sorted([*METRICS, 'f1'])}")
+    matched = coverage(answer, submission, key, target)
+    found = matched.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("given") == 0).alias("missing"), F.count_if(F.col("given") > 1).alias("repeated")).first()
+    if found.missing or found.repeated:
+        raise ValueError(f"of {found.n} rows of the answer key, the submission misses {found.missing} and repeats {found.repeated}")
+    return score_table(matched, metric).withColumn("n", F.lit(found.n).cast("bigint"))
 
 
 def common_support(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

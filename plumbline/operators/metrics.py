@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import running_counts
+from plumbline.operators.ordering import global_rank, running_counts
 
 EPSILON = 2.220446049250313e-16     # fixed value: probability clip of log loss
 
@@ -74,7 +73,9 @@ def quadratic_weighted_kappa(df: DataFrame, by: Sequence[str] = ()) -> DataFrame
     """Agreement with squared penalties over level positions; expected counts come from the margins' moments."""
     cells = confusion(df, by)
     levels = cells.select(*by, F.explode(F.array("label", "pred")).alias("cls")).distinct()
-    place = levels.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("cls")).cast("double"))
+    # levels are numbered over the whole table; a group's own numbers follow from its smallest, since levels lead by group
+    ranked = global_rank(levels, [*by, "cls"], group=list(by)) if by else global_rank(levels, ["cls"])
+    place = ranked.select(*by, "cls", F.col("group_rank" if by else "rank").cast("double").alias("i"))
     i, j = place.withColumnsRenamed({"cls": "label"}), place.withColumnsRenamed({"cls": "pred", "i": "j"})
     n, ci, cj = F.col("n").cast("double"), F.col("i"), F.col("j")
     placed = cells.join(i, [*by, "label"]).join(j, [*by, "pred"])
@@ -182,28 +183,64 @@ def fit_temperature(df: DataFrame, classes: Sequence, bounds: tuple[float, float
     Each pass tries a log-spaced grid in one aggregate and narrows to the neighbours of the best point.
     """
     lo, hi = bounds
-    grid = max(6, min(grid, 2000 // max(1, len(classes))))
-    # one logarithm per class up front; the grid then is plain arithmetic that compiles into the scan
-    logs = df.select(F.col("label"), *[F.log(F.col("proba")[i]).alias(f"z{i}") for i in range(len(classes))])
-    z = [F.col(f"z{i}") for i in range(len(classes))]
-    own = F.coalesce(*[F.when(F.col("label") == F.lit(c), z[i]) for i, c in enumerate(classes)])
-
-    def loss(t):
-        total = reduce(lambda a, b: a + b, [F.coalesce(F.exp(x / t), F.lit(0.0)) for x in z])
-        cap, floor = -math.log(EPSILON), -math.log1p(-EPSILON)
-        return F.avg(F.greatest(F.least(F.coalesce(F.log(total) - own / t, F.lit(cap)), F.lit(cap)), F.lit(floor)))
+    own = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int")
+    logs = df.select(F.transform("proba", lambda p: F.log(p)).alias("z"), own.alias("own"))
+    cap, floor, t = -math.log(EPSILON), -math.log1p(-EPSILON), F.col("t")
+    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.coalesce(F.exp(x / t), F.lit(0.0)))
+    mine = F.when(F.col("own") > 0, F.try_element_at("z", F.col("own")))
+    loss = F.avg(F.greatest(F.least(F.coalesce(F.log(total) - mine / t, F.lit(cap)), F.lit(cap)), F.lit(floor)))
+
+    def losses(points: Sequence[float]) -> list[float]:
+        """One aggregate; the points are rows, so neither their number nor the plan depends on the classes."""
+        grid_rows = logs.select("*", F.posexplode(F.array(*[F.lit(float(x)) for x in points])).alias("i", "t"))
+        found = {r.i: r.loss for r in grid_rows.groupBy("i").agg(loss.alias("loss")).collect()}
+        return [found[i] for i in range(len(points))]
 
     plain = best = None
     for _ in range(passes):
         points = _log_grid(lo, hi, grid)
-        row = logs.agg(loss(1.0).alias("t1"), *[loss(t).alias(f"t_{i}") for i, t in enumerate(points)]).first()
-        plain = row["t1"]
-        i = min(range(grid), key=lambda j: row[f"t_{j}"])
-        best = (points[i], row[f"t_{i}"])
+        plain, *tried = losses([1.0, *points])
+        i = min(range(grid), key=tried.__getitem__)
+        best = (points[i], tried[i])
         lo, hi = points[max(0, i - 1)], points[min(grid - 1, i + 1)]
     return best[0], best[1], plain
 
 
+def _weighted(value: Column, weight: str, by: Sequence[str], name: str, shape: Callable[[Column], Column] = lambda c: c) -> Callable[[DataFrame], DataFrame]:
+    w = F.when(value.isNotNull(), F.col(f"`{weight}`"))
+    return lambda df: df.groupBy(*by).agg(shape(F.try_divide(F.sum(w * value), F.sum(w))).alias(name))
+
+
+def score_table(df: DataFrame, metric: str, classes: Sequence | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, metric)`` over ``label``, ``pred`` and, for probabilities, ``proba`` in class order.
+
+    More than two classes score ROC AUC one against the rest; ``f1`` takes the last class as positive. With a
+    weight, metrics that are means over rows are weighted; others refuse it.
+    """
+    if metric == "roc_auc" and classes is not None and "proba" in df.columns:
+        if len(classes) > 2:
+            if weight:
+                raise ValueError("roc_auc of several classes takes no weight")
+            return roc_auc_ovr(df, classes, by).withColumnRenamed("roc_auc_ovr", "roc_auc")
+        names = [*by, (F.col("label") == F.lit(classes[-1])).cast("int").alias("label"), F.col("proba")[len(classes) - 1].alias("score")]
+        return roc_auc(df.select(*names, *([weight] if weight else [])), by, F.col(f"`{weight}`").cast("double") if weight else None)
+    if weight:
+        rows = {"accuracy": (F.col("label") == F.col("pred")).cast("double"), "mae": F.abs(_error()), "wmae": F.abs(_error()), "rmse": _error() * _error()}
+        if metric == "log_loss":
+            rows["log_loss"] = -F.log(true_probability(classes))
+        if metric not in rows:
+            raise ValueError(f"{metric} takes no weight")
+        return _weighted(rows[metric], weight, by, metric, F.sqrt if metric == "rmse" else lambda c: c)(df)
+    if metric == "log_loss":
+        return log_loss(df, classes, by)
+    if metric == "f1":
+        positive = classes[-1] if classes else df.agg(F.max("label")).first()[0]
+        return f1(df, positive, by)
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}, known: {sorted([*METRICS, 'f1', 'log_loss', 'wmae'])}")
+    return METRICS[metric](df, by)
+
+
 METRICS: dict[str, Callable[..., DataFrame]] = {
     "accuracy": accuracy, "balanced_accuracy": balanced_accuracy, "f1_macro": f1_macro, "mcc": mcc,
     "quadratic_weighted_kappa": quadratic_weighted_kappa,

@@ -69,7 +69,7 @@ def test_grade_refuses_partial_submissions(spark):
     assert J.grade(answer, sub, "id", "y", "accuracy").first().accuracy == 0.75
     assert J.grade(answer, sub, "id", "y", "balanced_accuracy").first().balanced_accuracy == 0.75
     for bad in (sub.where("id < 2"), sub.union(sub)):
-        with pytest.raises(ValueError, match="matches"):
+        with pytest.raises(ValueError, match="misses"):
             J.grade(answer, bad, "id", "y", "accuracy")
     with pytest.raises(ValueError, match="unknown metric"):
         J.grade(answer, sub, "id", "y", "ndcg")
@@ -152,3 +152,14 @@ def test_common_support_and_references(spark):
     seen = spark.createDataFrame([("u1",), ("u1",)], "url string")
     got = {r.brief: (r.n_kept, r.n_dropped, r.grounded) for r in J.ground_references(refs, seen).collect()}
     assert got == {"x": (1, 1, True), "y": (0, 1, False)} and J.dropped_references(refs, seen).count() == 2
+
+
+def test_grade_refuses_repeated_and_missing_keys(spark):
+    from plumbline.operators import grading as J
+    answer = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b")], "id int, y string")
+    for sent in ([(1, "a"), (1, "a"), (3, "a"), (4, "b")], [(1, "a"), (3, "a"), (4, "b")], [(1, "a"), (2, "b"), (2, "b"), (3, "a"), (4, "b")]):
+        with pytest.raises(ValueError, match="misses"):
+            J.grade(answer, spark.createDataFrame(sent, answer.schema), "id", "y", "accuracy")
+    full = spark.createDataFrame([(4, "b"), (3, "b"), (2, "b"), (1, "a"), (9, "z")], answer.schema)
+    assert J.grade(answer, full, "id", "y", "accuracy").first().accuracy == 0.75
+    assert J.grade(answer, full, "id", "y", "f1").first().f1 == pytest.approx(0.8)
