@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -13,8 +15,27 @@ TRUNCATION_MARK = "\n[... truncated]"    # fixed value
 
 
 def keyword_group(text: Column, words: Sequence[str]) -> Column:
-    """How often any surface form of one concept occurs, case-insensitive whole words."""
-    return F.regexp_count(F.lower(text), F.lit(_EDGE[0] + "(" + "|".join(words) + ")" + _EDGE[1])).cast("bigint")
+    """How often any surface form of one concept occurs, case-insensitive whole words.
+
+    Forms of word characters only are looked up among the words of the text, which is split once; other forms
+    (phrases, patterns) are searched in the text itself.
+    """
+    lower = F.lower(text)
+    plain = [w for w in words if re.fullmatch(r"\w+", w)]
+    rest = [w for w in words if w not in plain]
+    counts = []
+    if plain:
+        tokens = F.split(lower, r"[^\p{L}\p{N}_]+")
+        counts.append(F.size(F.filter(tokens, lambda t: t.isin([w.lower() for w in plain]))))
+    if rest:
+        counts.append(F.regexp_count(lower, F.lit(_EDGE[0] + "(" + "|".join(rest) + ")" + _EDGE[1])))
+    total = counts[0] if len(counts) == 1 else counts[0] + counts[1]
+    return F.when(text.isNotNull(), total).cast("bigint")
+
+
+def chars_in(text: Column, chars: str) -> Column:
+    """How many characters of the text are among ``chars``."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
 def number_after(text: Column, word: str) -> Column:
@@ -23,19 +44,18 @@ def number_after(text: Column, word: str) -> Column:
     return F.when(found != "", found.try_cast("double"))
 
 
-def density(text: Column, pattern: str) -> Column:
-    return F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), F.length(text))
+def density(text: Column, chars: str) -> Column:
+    return F.try_divide(chars_in(text, chars).cast("double"), F.length(text))
 
 
 def style_features(text: Column, informal: Sequence[str]) -> Mapping[str, Column]:
     """Register signals: upper case, punctuation and digit density, money and time mentions, slang."""
     words = F.regexp_count(text, F.lit(r"[A-Za-z']+")).cast("double")
     return {
-        "upper_ratio": F.try_divide(F.regexp_count(text, F.lit("[A-Z]")).cast("double"),
-                                    F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))),
+        "upper_ratio": F.try_divide(chars_in(text, string.ascii_uppercase).cast("double"), chars_in(text, string.ascii_letters)),
         "exclamation_density": density(text, "!"),
-        "question_density": density(text, r"\?"),
-        "digit_density": density(text, "[0-9]"),
+        "question_density": density(text, "?"),
+        "digit_density": density(text, string.digits),
         "currency_mentions": F.regexp_count(text, F.lit(r"[$€£]\s*[0-9]")).cast("bigint"),
         "time_mentions": F.regexp_count(F.lower(text), F.lit(_EDGE[0] + r"[0-9]+\s*(hour|day|week|month|year)s?" + _EDGE[1])).cast("bigint"),
         "informal_ratio": F.try_divide(keyword_group(text, informal).cast("double"), words),
