@@ -165,21 +165,24 @@ _HALF = UserFeature("noise", lambda t: None, lambda df, p: (keyed_hash(9, "o_ord
 def _feature_gate(spark, d):
     o = priced_orders(spark, d)
     rank = UserFeature("rank", lambda t: None, lambda df, p: F.substring("o_orderpriority", 1, 1).cast("double"))
-    _, rows, _ = G.select_features(o, "amount", "o_orderkey", [_HALF, rank], k=3, learner=L.tree(4))
-    return G.records(spark, rows)
+    climb = G.Climb(o, "amount", "o_orderkey", dict(k=3, learner=L.tree()))
+    climb.features([_HALF, rank])
+    return climb.records()
 
 
 @query("drop_gate")
 def _drop_gate(spark, d):
     plan = {"columns_to_drop": ["value", "event_type"]}
-    _, rows, _ = G.drop_gate(typed_events(spark, d), "late", "event_id", plan, ["value"], k=3, learner=L.tree(4))
-    return G.records(spark, rows)
+    climb = G.Climb(typed_events(spark, d), "late", "event_id", dict(k=3, learner=L.tree(), cleaning=plan))
+    climb.keep_columns(["value"])
+    return climb.records()
 
 
 @query("framing_gate")
 def _framing_gate(spark, d):
-    _, rows, _ = G.framing_gate(priced_orders(spark, d), "amount", "o_orderkey", k=3, learner=L.tree(4))
-    return G.records(spark, rows)
+    climb = G.Climb(priced_orders(spark, d), "amount", "o_orderkey", dict(k=3, learner=L.tree()))
+    climb.log_target()
+    return climb.records()
 
 
 @query("feasibility")

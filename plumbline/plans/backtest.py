@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import decide as D
 from plumbline.operators.encode import check_framing
-from plumbline.operators.folds import boundary_split, embargo_origins, permute_labels, rank_keys
+from plumbline.operators.folds import boundary_split, origin_masks, permute_labels, rank_keys
 from plumbline.operators.profile import correlations, looks_like_classes
 from plumbline.plans.model import Learner, adversarial_auc, class_list, default_metric, fit, forest, score_frame, tree
-from plumbline.session import cached_if_small, stable
+from plumbline.session import stable
 
 
 def future_features(df: DataFrame, target: str, suspects: Sequence[str]) -> DataFrame:
@@ -24,25 +24,19 @@ def future_features(df: DataFrame, target: str, suspects: Sequence[str]) -> Data
 def split_design(df: DataFrame, target: str, time: str, key: str, *, n_origins: int = 3, test_frac: float = 0.1,
                  embargo_frac: float = 0.05, learner: Learner | None = None, metric: str | None = None) -> DataFrame | None:
     """One row: how much a backtest without a gap overstates quality. None when no origin is possible."""
-    long = embargo_origins(df, time, key, n_origins=n_origins, test_frac=test_frac, embargo_frac=embargo_frac)
-    sizes = {r.fold: r["count"] for r in long.groupBy("fold").count().collect()}
-    origins = sorted(sizes)
-    if not origins:
+    masks = origin_masks(df, time, key, n_origins=n_origins, test_frac=test_frac, embargo_frac=embargo_frac)
+    if not masks.sides:
         return None
     classes = class_list(df, target) if looks_like_classes(df, target) else None
     metric = metric or default_metric(classes)
     rows = []
-    with cached_if_small(long, sum(sizes.values())) as relation:
-        for i in origins:
-            part = relation.where(F.col("fold") == i)
-            test = part.where("role = 'test'").drop("fold", "role")
-            pair = []
-            for role in ("naive_train", "embargo_train"):
-                fitted = fit(part.where(F.col("role") == role).drop("fold", "role"), target, learner or forest(),
-                             exclude=[key], classes=classes)
-                pred = fitted.predict(test, [key, F.col(f"`{target}`").alias("label")])
-                pair.append(float(score_frame(pred, metric, classes).first().score))
-            rows.append((i, *pair, True))
+    for i in sorted(masks.sides):
+        scores = []
+        for role in ("naive_train", "embargo_train"):
+            fitted = fit(masks.part(i, role), target, learner or forest(), exclude=[key], classes=classes)
+            pred = fitted.predict(masks.part(i, "test"), [key, F.col(f"`{target}`").alias("label")])
+            scores.append(float(score_frame(pred, metric, classes).first().score))
+        rows.append((i, *scores, True))
     pairs = df.sparkSession.createDataFrame(rows, "origin bigint, naive double, corrected double, higher_is_better boolean")
     return D.backtest_gap(pairs.withColumn("metric", F.lit(metric)), ["metric"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import decide as D
 from plumbline.operators import grading as J
 from plumbline.operators import metrics as M
-from plumbline.operators.clean import fit_cleaning
+from plumbline.operators.clean import fit_cleaning, without_drop
 from plumbline.operators.encode import TargetTransform, clip_nonnegative, fit_ordinals
 from plumbline.operators.features import fit_features
 from plumbline.operators.folds import carve_key, holdout
@@ -20,7 +20,7 @@ from plumbline.operators.profile import looks_like_classes
 from plumbline.operators.userfeatures import UserFeature, add_features
 from plumbline.operators.verify import verified_folds
 from plumbline.plans import audit as A
-from plumbline.plans.gates import Budget, drop_gate, framing_gate, records, select_features
+from plumbline.plans.gates import Climb
 from plumbline.plans.model import (
     CVResult, Fitted, Learner, adversarial_auc, class_list, cross_validate, default_metric, fit, forest, score_frame)
 from plumbline.sources.load import guard_inputs, infer_task
@@ -61,14 +61,13 @@ def label_submission(pred: DataFrame, key: str, target: str, clip: bool = False)
 
 
 def proba_submission(pred: DataFrame, key: str, classes: Sequence, columns: Sequence[str], positive: Any = None) -> DataFrame:
-    """One column per class in the order asked for, or the positive class alone; anything else is an error."""
-    names = [str(c) for c in classes]
-    if set(columns) == set(names):
-        return pred.select(key, *[F.col("proba")[names.index(c)].alias(c) for c in columns])
-    if len(columns) == 1:
-        at = names.index(str(positive if positive is not None else classes[-1]))
-        return pred.select(key, F.col("proba")[at].alias(columns[0]))
-    raise ValueError(f"columns {list(columns)} match neither the classes {names} nor a single probability")
+    """Probabilities under the column names asked for: every class by its name, or a single column for one class (the last by default)."""
+    by_class = F.map_from_arrays(F.array(*[F.lit(str(c)) for c in classes]), F.col("proba"))
+    wanted = {c: c for c in columns} if len(columns) > 1 or columns[0] in map(str, classes) and len(classes) == 1 else \
+        {columns[0]: str(classes[-1] if positive is None else positive)}
+    if len(columns) > 1 and sorted(columns) != sorted(map(str, classes)) or set(wanted.values()) - set(map(str, classes)):
+        raise ValueError(f"columns {list(columns)} are neither the classes {list(classes)} nor one probability")
+    return pred.select(key, *[by_class[c].alias(name) for name, c in wanted.items()])
 
 
 def top_k_long(wide: DataFrame, key: str, classes: Sequence[str], k: int, out: str = "choice") -> DataFrame:
@@ -83,7 +82,7 @@ def run_cv(df: DataFrame, target: str, key: str, plans: Plans | None = None, *,
            seed: int = 42, learner: Learner | None = None, metric: str | None = None, proba_columns: Sequence[str] | None = None) -> Run:
     """Ordinals, cleaning, features, gates, framing, final fit and submission, every choice measured by CV."""
     plans = plans or Plans()
-    spark, before = df.sparkSession, len(df.columns)
+    before = len(df.columns)
     folds = verified_folds(df, plans.folds, target)
     log: list[tuple] = [("folds", folds["strategy"], folds["status"], folds["reason"])]
     steps = []
@@ -91,36 +90,29 @@ def run_cv(df: DataFrame, target: str, key: str, plans: Plans | None = None, *,
         step = fit_ordinals(df, plans.ordinals, target)
         df, log = step.transform(df), log + step.log
         steps.append(step)
-    budget, rows = Budget(plans.budget), []
-    cv_args: dict[str, Any] = dict(k=k, seed=seed, folds=folds, learner=learner, metric=metric)
-    cleaning = plans.cleaning
-    cv = None
-    if cleaning and plans.risky_drops:
-        cleaning, found, _ = drop_gate(df, target, key, cleaning, plans.risky_drops, budget=budget, **cv_args)
-        rows += found
+    options: dict[str, Any] = dict(k=k, seed=seed, folds=folds, learner=learner, metric=metric)
+    climb = Climb(df, target, key, options | ({"cleaning": plans.cleaning} if plans.cleaning else {}), plans.budget)
+    if plans.cleaning and plans.risky_drops:
+        climb.keep_columns(plans.risky_drops)
+    cleaning = climb.options.get("cleaning")
     full = df
     widths = [before, len(df.columns)]
     for plan, fitter in ((cleaning, fit_cleaning), (plans.features, fit_features)):
         if plan:
-            step = fitter(full, plan, target)
+            step = fitter(full, _sparing(plan, key), target)
             full, log = step.transform(full), log + step.log
             steps.append(step)
         if fitter is fit_cleaning:
             widths[1] = len(full.columns)
-    cv_args |= dict(cleaning=cleaning, features=plans.features)
-    kept: list[UserFeature] = []
-    if plans.user_features:
-        kept, found, cv = select_features(df, target, key, plans.user_features, budget=budget, **cv_args)
-        rows += found
-        cv_args["user_features"] = kept
-    cv = cv or cross_validate(df, target, key, **cv_args)
-    transform: TargetTransform | None = None
-    if plans.try_log_target:
-        transform, found, cv = framing_gate(df, target, key, base=cv, budget=budget, **cv_args)
-        rows += found
+    if plans.features:
+        # what was measured so far had no feature plan, so it is measured anew with it
+        climb.options["features"], climb.stand = plans.features, None
+    kept = climb.features(plans.user_features) if plans.user_features else []
+    transform = climb.log_target() if plans.try_log_target else None
+    cv = climb.current
     final = add_features(full, [], target, key, kept)[0] if kept else full
     fitted = fit(final, target, learner or forest(), exclude=[key], classes=cv.classes, transform=transform)
-    run = Run(cv, folds, records(spark, rows), fitted, log, (before, widths[1], len(final.columns)), trials_spent=budget.spent)
+    run = Run(cv, folds, climb.records(), fitted, log, (before, widths[1], len(final.columns)), trials_spent=climb.spent)
     if test is not None:
         run.shift_auc = adversarial_auc(df, _replay(test, steps[:1] if plans.ordinals else []), target, key, cleaning=cleaning)
         seen = _replay(test, steps)
@@ -135,6 +127,11 @@ def run_cv(df: DataFrame, target: str, key: str, plans: Plans | None = None, *,
     return run
 
 
+def _sparing(plan: Mapping, key: str) -> Mapping:
+    """The plan with the row's key left in the table: it names rows and is never a feature, dropped or not."""
+    return without_drop(plan, key) if "columns_to_drop" in plan else plan
+
+
 def _replay(df: DataFrame, steps: Sequence) -> DataFrame:
     for s in steps:
         df = s.transform(df)
@@ -149,7 +146,7 @@ def run_holdout(df: DataFrame, target: str, key: str, plans: Plans | None = None
     train, held = marked.where("NOT held_out").drop("held_out"), marked.where("held_out").drop("held_out")
     for plan, fitter in ((plans.cleaning, fit_cleaning), (plans.features, fit_features)):
         if plan:
-            step = fitter(train, plan, target)
+            step = fitter(train, _sparing(plan, key), target)
             train, held = step.transform(train), step.transform(held)
     classes = class_list(df, target) if looks_like_classes(df, target) else None
     fitted = fit(train, target, learner or forest(), exclude=[key], classes=classes)
@@ -176,7 +173,7 @@ def paired_run(df: DataFrame, target: str, key: str, metric: str, treatment: Pla
                 scores.append(float(J.grade(answer, run.submission, key, target, metric).first()[metric]))
             rows.append((seed, scores[0], scores[1], None))
         except Exception as problem:  # noqa: BLE001 - fits fail in unpredictable ways; the failure is recorded
-            rows.append((seed, None, None, f"{type(problem).__name__}: {str(problem)[:200]}"))
+            rows.append((seed, None, None, f"{type(problem).__name__}: {problem}"))
     if all(r[3] for r in rows):
         raise RuntimeError(f"all {len(rows)} seeds failed: {rows}")
     out = spark.createDataFrame(rows, "seed bigint, baseline double, treatment double, error string")

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -20,20 +20,20 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import col_type, is_number, is_temporal, is_text, keyed_hash, ordinal_time
 from plumbline.operators import decide as D
-from plumbline.operators.clean import fit_cleaning, require_features
+from plumbline.operators.clean import fit_cleaning, require_features, without_drop
 from plumbline.operators.encode import TargetTransform
 from plumbline.operators.features import fit_features
-from plumbline.operators.folds import make_folds
-from plumbline.operators.metrics import METRICS, log_loss, roc_auc
-from plumbline.operators.profile import approx_distinct, looks_like_classes
+from plumbline.operators.folds import fold_masks
+from plumbline.operators.metrics import roc_auc, score_table
+from plumbline.operators.profile import looks_like_classes
 from plumbline.operators.userfeatures import UserFeature, add_features
-from plumbline.session import cached_if_small, stable
+from plumbline.session import stable
 
-MAX_LEVELS = 100        # text columns with more levels are hashed instead of indexed
-HASH_BUCKETS = 4096
-MAX_CLASSES = 1_000
+HASH_WIDTH = 1 << 12    # slots of a hashed one-hot column, whatever its number of levels
+PARTS = 5               # parts of the training rows whose own labels stay out of their level statistics
+SMOOTHING = 4.0         # rows of the overall mean added to every level's statistic
 CONCURRENT_FITS = 3
-ERRORS = ("rmse", "mae", "rmsle", "rmspe", "log_loss")
+ERRORS = ("rmse", "mae", "rmsle", "rmspe", "log_loss", "wmae")
 
 
 @dataclass(frozen=True)
@@ -47,13 +47,13 @@ class Learner:
 
 
 def forest(trees: int = 20, depth: int = 6, seed: int = 42) -> Learner:
-    return Learner(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=MAX_LEVELS + 28),
-                   GBTRegressor(maxIter=10, maxDepth=4, seed=seed, maxBins=MAX_LEVELS + 28), name="forest")
+    return Learner(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
+                   GBTRegressor(maxIter=10, maxDepth=4, seed=seed), name="forest")
 
 
 def tree(depth: int = 5, seed: int = 42) -> Learner:
-    return Learner(DecisionTreeClassifier(maxDepth=depth, seed=seed, maxBins=MAX_LEVELS + 28),
-                   DecisionTreeRegressor(maxDepth=depth, seed=seed, maxBins=MAX_LEVELS + 28), name="tree")
+    return Learner(DecisionTreeClassifier(maxDepth=depth, seed=seed),
+                   DecisionTreeRegressor(maxDepth=depth, seed=seed), name="tree")
 
 
 def constant() -> Learner:
@@ -75,6 +75,7 @@ class Fitted:
     features: list[str]
     target: str
     transform: TargetTransform | None = None
+    owners: list[str] = field(default_factory=list)     # the column behind every slot of the feature vector
 
     def predict(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``keep`` columns plus ``pred`` and, for classes, ``proba`` in class order."""
@@ -96,24 +97,44 @@ class Fitted:
         else:
             matrix = last.coefficientMatrix.toArray() if self.classes else [last.coefficients.toArray()]
             weights = [float(max(abs(r[i]) for r in matrix)) for i in range(len(matrix[0]))]
-        names = self.features if len(self.features) == len(weights) else [f"slot_{i}" for i in range(len(weights))]
-        ranked = sorted(zip(names, weights), key=lambda p: (-p[1], p[0]))
-        return [(n, w) for n, w in ranked[:top]]
+        # a column is as strong as its slots together
+        total: dict[str, float] = {}
+        for name, w in zip(self.owners, weights):
+            total[name] = total.get(name, 0.0) + w
+        return sorted(total.items(), key=lambda p: (-p[1], p[0]))[:top]
 
 
-def class_list(df: DataFrame, target: str) -> list:
-    """All classes of the target, sorted; refuses targets with too many to be classes."""
+def class_list(df: DataFrame, target: str, limit: int | None = None) -> list:
+    """All classes of the target, sorted. A model holds one entry for each, so ``limit`` refuses targets with more."""
     y = F.col(f"`{target}`")
-    found = [r[0] for r in df.where(y.isNotNull()).select(y).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes")
+    found = [r[0] for r in df.where(y.isNotNull()).select(y).distinct().collect()]
+    if limit is not None and len(found) > limit:
+        raise ValueError(f"target {target!r} has {len(found)} classes, more than {limit}")
     return sorted(found)
 
 
+def level_statistics(train: DataFrame, column: str, label: Column, n_stats: int) -> DataFrame:
+    """``(level, part, n, s0..)``: label sums of every level and part; part -1 holds all rows of the level."""
+    hits = [label] if n_stats == 1 else [(label == i).cast("double") for i in range(n_stats)]
+    rows = train.select(F.coalesce(F.col(f"`{column}`"), F.lit("<missing>")).alias("level"), _part(train).alias("part"), *[h.alias(f"s{i}") for i, h in enumerate(hits)])
+    names = [f"s{i}" for i in range(n_stats)]
+    parts = rows.groupBy("level", "part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names])
+    whole = parts.groupBy("level").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    rest = parts.join(whole.withColumnsRenamed({c: f"all_{c}" for c in ("n", *names)}), "level")
+    rest = rest.select("level", "part", *[(F.col(f"all_{c}") - F.col(c)).alias(c) for c in ("n", *names)])
+    return whole.select("level", F.lit(-1).alias("part"), "n", *names).union(rest.select("level", "part", "n", *names))
+
+
+def _part(df: DataFrame) -> Column:
+    """A part drawn from the whole row, so that copies of a row never explain each other."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")]), F.lit(PARTS)).cast("int")
+
+
 def fit(train: DataFrame, target: str, learner: Learner, *, exclude: Sequence[str] = (), classes: Sequence | None = None,
         weight: str | None = None, transform: TargetTransform | None = None) -> Fitted:
-    """Fit on every row of ``train``. ``classes`` given means classification; nulls get the training mean
-    or a level of their own; text with many levels is hashed, so no level table is ever large."""
+    """Fit on every row of ``train``. ``classes`` given means classification; nulls get the training mean or a level of
+    their own. Text of any number of levels is encoded in one way: by a hashed one-hot block for linear learners, by the
+    label statistics of its level for the others, where a training row's own part of the rows stays out of its statistic."""
     names = [c for c in train.columns if c not in {target, weight, *exclude}]
     require_features(train.select(target, *names), target)
     train = train.where(F.col(f"`{target}`").isNotNull())
@@ -124,49 +145,59 @@ def fit(train: DataFrame, target: str, learner: Learner, *, exclude: Sequence[st
     def as_number(df, c):
         return (ordinal_time(df, c) / 1e6 if c in times else F.col(f"`{c}`")).cast("double")
 
-    facts = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(as_number(train, c)).alias(f"m_{i}") for i, c in enumerate(numbers + times)],
-                      *[approx_distinct(c).alias(f"u_{i}") for i, c in enumerate(texts)]).first()
+    facts = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(as_number(train, c)).alias(f"m_{i}") for i, c in enumerate(numbers + times)]).first()
     means = {c: facts[f"m_{i}"] for i, c in enumerate(numbers + times) if facts[f"m_{i}"] is not None}
-    levels = [c for i, c in enumerate(texts) if facts[f"u_{i}"] <= 0.9 * MAX_LEVELS]
-    hashed = [c for c in texts if c not in levels]
-    used = list(means) + hashed + levels
-
-    def prepare(df: DataFrame) -> DataFrame:
-        made = {f"_x_{c}": F.coalesce(as_number(df, c), F.lit(m)) for c, m in means.items()}
-        made |= {f"_x_{c}": F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(HASH_BUCKETS)).cast("double") for c in hashed}
-        made |= {f"_s_{c}": F.coalesce(F.col(f"`{c}`"), F.lit("<missing>")) for c in levels}
-        return df.withColumns(made)
+    used = [*means, *texts]
+    y = F.col(f"`{target}`")
+    if classes is None:
+        label: Column = (transform.forward(y) if transform else y).cast("double")
+    else:
+        label = (F.array_position(F.array(*[F.lit(c) for c in classes]), y) - 1).cast("double")
+    n_stats = 1 if classes is None or len(classes) <= 2 else len(classes)
+    # linear learners see levels as a hashed one-hot block of fixed width; trees see what the label does within a level
+    levels = {}
+    if not learner.one_hot:
+        for c in texts:
+            table = level_statistics(train, c, label, n_stats)
+            overall = train.agg(*[F.avg(label if n_stats == 1 else (label == i).cast("double")) for i in range(n_stats)]).first()
+            levels[c] = (table, list(overall))
+
+    def prepare(df: DataFrame, training: bool = False) -> DataFrame:
+        made = {f"_x_{i}": F.coalesce(as_number(df, c), F.lit(m)) for i, (c, m) in enumerate(means.items())}
+        out = df.withColumns({**made, "_part": _part(df) if training else F.lit(-1)})
+        for i, c in enumerate(texts):
+            level = F.coalesce(F.col(f"`{c}`"), F.lit("<missing>"))
+            if learner.one_hot:
+                out = out.withColumn(f"_l_{i}", level)
+                continue
+            table, overall = levels[c]
+            table = table.select(F.col("level").alias("_level"), F.col("part").alias("_p"), F.col("n").alias("_n"), *[F.col(f"s{j}").alias(f"_s{j}") for j in range(n_stats)])
+            out = out.join(table, (level == F.col("_level")) & (F.col("_part") == F.col("_p")), "left")
+            n = F.coalesce(F.col("_n"), F.lit(0))
+            stats = {f"_t_{i}_{j}": (F.coalesce(F.col(f"_s{j}"), F.lit(0.0)) + SMOOTHING * m) / (n + SMOOTHING) for j, m in enumerate(overall)}
+            out = out.withColumns(stats).drop("_level", "_p", "_n", *[f"_s{j}" for j in range(n_stats)])
+        return out.drop("_part")
 
     stages: list[Any] = []
-    inputs = [f"_x_{c}" for c in [*means, *hashed]]
-    if levels:
-        stages.append(StringIndexer(inputCols=[f"_s_{c}" for c in levels], outputCols=[f"_x_{c}" for c in levels], handleInvalid="keep"))
+    slots = {c: [f"_x_{i}"] for i, c in enumerate(means)}
+    for i, c in enumerate(texts):
         if learner.one_hot:
-            stages.append(OneHotEncoder(inputCols=[f"_x_{c}" for c in levels], outputCols=[f"_h_{c}" for c in levels]))
-        inputs += [f"{'_h_' if learner.one_hot else '_x_'}{c}" for c in levels]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error"))
+            stages.append(FeatureHasher(inputCols=[f"_l_{i}"], outputCol=f"_h_{i}", numFeatures=HASH_WIDTH))
+        slots[c] = [f"_h_{i}"] if learner.one_hot else [f"_t_{i}_{j}" for j in range(n_stats)]
+    stages.append(VectorAssembler(inputCols=[x for xs in slots.values() for x in xs], outputCol="_features", handleInvalid="error"))
+    owners = [c for c, xs in slots.items() for x in xs for _ in range(HASH_WIDTH if x.startswith("_h_") else 1)]
     params = {"featuresCol": "_features", "labelCol": "_label"}
     estimator = learner.regressor if classes is None else learner.classifier
     chosen = estimator.copy({estimator.getParam(k): v for k, v in params.items()})
     if weight:
         chosen = chosen.copy({chosen.getParam("weightCol"): weight})
-    y = F.col(f"`{target}`")
-    if classes is None:
-        label: Column = (transform.forward(y) if transform else y).cast("double")
-    else:
-        label = (F.array_position(F.array(*[F.lit(c) for c in classes]), y) - 1).cast("double")
-    model = Pipeline(stages=[*stages, chosen]).fit(prepare(train).withColumn("_label", label))
-    return Fitted(prepare, model, list(classes) if classes is not None else None, used, target, transform)
+    model = Pipeline(stages=[*stages, chosen]).fit(prepare(train, training=True).withColumn("_label", label))
+    return Fitted(prepare, model, list(classes) if classes is not None else None, used, target, transform, owners)
 
 
-def score_frame(pred: DataFrame, metric: str, classes: Sequence | None, by: Sequence[str] = ()) -> DataFrame:
+def score_frame(pred: DataFrame, metric: str, classes: Sequence | None, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """The metric over predictions, signed so that higher is better."""
-    if metric == "roc_auc":
-        out = roc_auc(pred.select(*by, (F.col("label") == F.lit(classes[1])).cast("int").alias("label"), F.col("proba")[1].alias("score")), by)
-    elif metric == "log_loss":
-        out = log_loss(pred, classes, by)
-    else:
-        out = METRICS[metric](pred, by)
+    out = score_table(pred, metric, classes, weight, by)
     sign = -1.0 if metric in ERRORS else 1.0
     return out.select(*by, (F.col(metric) * sign).alias("score"))
 
@@ -180,8 +211,8 @@ def train_and_evaluate(train: DataFrame, held: DataFrame, target: str, key: str,
     """Fit on train, score on the held-out rows."""
     classes = class_list(train.unionByName(held), target) if looks_like_classes(train, target) else None
     fitted = fit(train, target, learner or forest(), exclude=[key], classes=classes, weight=weight)
-    pred = fitted.predict(held, [key, F.col(f"`{target}`").alias("label")])
-    return fitted, score_frame(pred, metric or default_metric(classes), classes).first().score
+    pred = fitted.predict(held, [key, F.col(f"`{target}`").alias("label"), *([F.col(f"`{weight}`")] if weight else [])])
+    return fitted, score_frame(pred, metric or default_metric(classes), classes, weight=weight).first().score
 
 
 @dataclass
@@ -217,21 +248,21 @@ def cross_validate(df: DataFrame, target: str, key: str, *, k: int = 3, seed: in
     """Leakage-free cross-validation: every statistic of every plan is fitted on its fold's training rows.
 
     A target transform is fitted forward and inverted before scoring, so scores stay in original units.
-    The fold relation stays a plan unless its counted rows are few: k copies of a large table are never
-    cached. Persist ``df`` yourself when it is expensive to read; the predictions are written once.
+    Folds are conditions on one assigned table, so no row is copied or cached. Persist ``df`` yourself when it is
+    expensive to read; the predictions are written once.
     """
     df = df.where(F.col(f"`{target}`").isNotNull())
     classes = class_list(df, target) if looks_like_classes(df, target) else None
     metric = metric or default_metric(classes)
     label = target if classes is not None and stratified else None
-    long = make_folds(df, folds or {}, key, k, label=label, seed=seed, splitter=splitter)
-    sizes = {r.fold: r["count"] for r in long.groupBy("fold").count().collect()}
-    ids = sorted(sizes)
-
-    def one(relation: DataFrame, i: int) -> DataFrame:
-        part = relation.where(F.col("fold") == i)
-        train, held = (part.where(F.col("role") == r).drop("fold", "role") for r in ("train", "validate"))
-        for plan, fitter in ((cleaning, fit_cleaning), (features, fit_features)):
+    masks = fold_masks(df, folds or {}, key, k, label=label, seed=seed, splitter=splitter)
+    ids = sorted(masks.sides)
+
+    def one(i: int) -> DataFrame:
+        train, held = masks.part(i, "train"), masks.part(i, "validate")
+        # the key names rows whether or not the plan drops it
+        clean = without_drop(cleaning, key) if cleaning else None
+        for plan, fitter in ((clean, fit_cleaning), (features, fit_features)):
             if plan:
                 step = fitter(train, plan, target)
                 train, held = step.transform(train), step.transform(held)
@@ -241,10 +272,11 @@ def cross_validate(df: DataFrame, target: str, key: str, *, k: int = 3, seed: in
         keep = [F.col(f"`{key}`"), F.lit(i).cast("bigint").alias("fold"), F.col(f"`{target}`").alias("label")]
         return fitted.predict(held, keep + ([F.col(f"`{weight}`")] if weight else []))
 
-    with cached_if_small(long, sum(sizes.values())) as relation, ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        parts = list(pool.map(lambda i: one(relation, i), ids))
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        parts = list(pool.map(one, ids))
         oof = stable(reduce(DataFrame.unionByName, parts))
-    scores = {r.fold: r.score for r in score_frame(oof, metric, classes, ["fold"]).collect()}
+    scores = {r.fold: r.score for r in score_frame(oof, metric, classes, ["fold"], weight).collect()}
+    ids = [i for i in ids if i in scores]       # a fold without validation rows has no score
     return CVResult(metric, [float(scores[i]) for i in ids], oof, classes, ids)
 
 
@@ -291,7 +323,7 @@ def adversarial_auc(train: DataFrame, test: DataFrame, target: str, key: str, *,
                     cleaning: Mapping | None = None, exclude: Sequence[str] = (), seed: int = 42) -> float | None:
     """Held-out AUC of telling test rows from training rows; about 0.5 means no detectable shift."""
     if cleaning:
-        step = fit_cleaning(train, cleaning, target)
+        step = fit_cleaning(train, without_drop(cleaning, key), target)
         train, test = step.transform(train), step.transform(test)
     both = label_sides(train, test, target, exclude)
     if both is None or len(shared_features(train, test, target, [*exclude, key])) == 0:

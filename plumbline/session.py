@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -13,6 +10,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",     # copies go with the frames that read them
 }
 
 
@@ -47,19 +45,3 @@ def stable(df: DataFrame) -> DataFrame:
     """
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-CACHED_ROWS = 5_000_000
-
-
-@contextmanager
-def cached_if_small(df: DataFrame, n_rows: int) -> Iterator[DataFrame]:
-    """``df`` kept in memory for the block when its known row count is small; otherwise just the plan."""
-    if n_rows > CACHED_ROWS:
-        yield df
-        return
-    kept = df.persist()
-    try:
-        yield kept
-    finally:
-        kept.unpersist()

@@ -17,10 +17,10 @@ def noise(seed, key="id"):
 
 @pytest.fixture(scope="module")
 def coin(spark):
-    """150 entities x 8 rows, label drawn per entity, features identify the entity."""
-    df = spark.range(1200).withColumn("customer", F.floor(F.col("id") / 8))
-    cols = {f"x{i}": keyed_hash(i, "customer") / float(2 ** 32) + noise(100 + i) * 0.01 for i in range(4)}
-    return df.withColumns(cols).withColumn("churned", (keyed_hash("y", "customer") % 2).cast("int")).cache()
+    """200 sensors with six readings each; the fault is drawn per sensor, and readings tell the sensor apart."""
+    df = spark.range(1200).withColumn("sensor", F.floor(F.col("id") / 6))
+    cols = {f"reading_{i}": 10 * (keyed_hash(50 + i, "sensor") / float(2 ** 32)) + noise(200 + i) * 0.1 for i in range(3)}
+    return df.withColumns(cols).withColumn("faulty", (keyed_hash("fault", "sensor") % 2).cast("int")).cache()
 
 
 @pytest.fixture(scope="module")
@@ -29,12 +29,12 @@ def line(spark):
 
 
 def test_random_folds_lie_on_grouped_data(coin):
-    args = dict(k=3, learner=L.forest(10, 8), exclude=["customer"])
-    naive = L.cross_validate(coin, "churned", "id", **args)
-    honest = L.cross_validate(coin, "churned", "id", folds={"strategy": "group", "group_column": "customer"}, **args)
+    args = dict(k=3, learner=L.forest(10, 8), exclude=["sensor"])
+    naive = L.cross_validate(coin, "faulty", "id", **args)
+    honest = L.cross_validate(coin, "faulty", "id", folds={"strategy": "group", "group_column": "sensor"}, **args)
     assert naive.mean > 0.85 and honest.mean < 0.7
     assert honest.oof.count() == 1200 and honest.oof.where("abs(proba[0] + proba[1] - 1) > 1e-6").count() == 0
-    gap = W.check_validation(coin, "churned", "id", {"strategy": "group", "group_column": "customer"}, learner=L.tree(8), exclude=["customer"]).first()
+    gap = W.check_validation(coin, "faulty", "id", {"strategy": "group", "group_column": "sensor"}, learner=L.tree(8), exclude=["sensor"]).first()
     assert gap.gap > 0.1 and gap.direction == "optimistic (dangerous)"
 
 
@@ -73,27 +73,29 @@ def test_shift_is_seen_and_absence_too(line):
 
 
 def test_feature_gate_keeps_signal_only(spark):
-    df = spark.range(400).select("id", noise(1).alias("a"), noise(2).alias("b")).withColumn("y", F.col("a") * F.col("b"))
-    prod = UserFeature("prod", lambda t: None, lambda d, p: F.col("a") * F.col("b"))
-    junk = UserFeature("junk", lambda t: None, lambda d, p: noise(77))
-    kept, rows, _ = G.select_features(df, "y", "id", [junk, prod], k=3, learner=L.linear())
-    assert [f.name for f in kept] == ["prod"] and [r[4] for r in rows] == ["no_improvement", "improved"]
-    _, rows, _ = G.select_features(df, "y", "id", [prod], budget=G.Budget(0), k=3, learner=L.linear())
-    assert rows[0][4] == "budget_exhausted"
+    df = spark.range(500).select("id", noise(11).alias("width"), noise(12).alias("height")).withColumn("area", F.col("width") * F.col("height"))
+    product = UserFeature("product", lambda t: None, lambda d, p: F.col("width") * F.col("height"))
+    dice = UserFeature("dice", lambda t: None, lambda d, p: noise(78))
+    climb = G.Climb(df, "area", "id", dict(k=3, learner=L.linear()))
+    assert [f.name for f in climb.features([dice, product])] == ["product"]
+    assert [r.reason for r in climb.records().collect()] == ["no_improvement", "improved"] and climb.spent == 2
+    spent = G.Climb(df, "area", "id", dict(k=3, learner=L.linear()), limit=0)
+    assert spent.features([product]) == [] and spent.ledger[0][4] == "budget_exhausted" and spent.spent == 0
 
 
-def test_bait_column_drop_is_vetoed(spark):
-    df = spark.range(400).select("id", noise(1).alias("flux"), noise(2).alias("noise_a")).withColumn("bright", (F.col("flux") > 0.5).cast("int"))
-    plan, rows, _ = G.drop_gate(df, "bright", "id", {"columns_to_drop": ["flux"]}, ["flux"], k=3, learner=L.tree())
-    assert plan["columns_to_drop"] == [] and rows[0][2]
+def test_useful_column_is_kept_against_the_plan(spark):
+    df = spark.range(500).select("id", noise(21).alias("load"), noise(22).alias("dust")).withColumn("fails", (F.col("load") > 0.7).cast("int"))
+    climb = G.Climb(df, "fails", "id", dict(k=3, learner=L.tree(), cleaning={"columns_to_drop": ["load", "id"]}))
+    assert climb.keep_columns(["load"])["columns_to_drop"] == ["id"] and climb.ledger[0][2]
 
 
 def test_framing_gate(spark):
-    df = spark.range(400).select("id", noise(1).alias("x")).withColumn("y", F.exp(F.col("x") * 9) * (1 + noise(3)))
-    _, rows, _ = G.framing_gate(df, "y", "id", k=3, learner=L.linear())
-    assert rows[0][4] in ("improved", "no_improvement")
-    _, rows, _ = G.framing_gate(df.withColumn("y", -F.col("y")), "y", "id", k=3, learner=L.linear())
-    assert rows[0][4] == "negative values"
+    df = spark.range(500).select("id", noise(31).alias("x")).withColumn("y", F.exp(F.col("x") * 8) * (1 + noise(33)))
+    climb = G.Climb(df, "y", "id", dict(k=3, learner=L.linear()))
+    climb.log_target()
+    assert climb.ledger[0][4] in ("improved", "no_improvement")
+    below = G.Climb(df.withColumn("y", -F.col("y")), "y", "id", dict(k=3, learner=L.linear()))
+    assert below.log_target() is None and below.ledger[0][4] == "negative values"
 
 
 def test_backtest_audit_finds_the_future_and_clears_the_clean(spark):
@@ -138,3 +140,39 @@ def test_failed_seeds_are_recorded(line):
     broken = W.Plans(cleaning={"columns_to_drop": ["x", "c"]})
     with pytest.raises(RuntimeError, match="all 1 seeds failed"):
         W.paired_run(line, "y", "id", "rmse", broken, learner=L.tree())
+
+
+@pytest.mark.parametrize("n_levels", [80, 200])
+def test_levels_keep_their_signal_whatever_their_number(spark, n_levels):
+    df = spark.range(8000).select("id", F.concat(F.lit("level "), (F.col("id") % n_levels).cast("string")).alias("code"), noise(3).alias("x"))
+    df = df.withColumn("y", (keyed_hash("side", F.col("code")) % 2).cast("int"))
+    for learner in (L.linear(), L.tree()):
+        cv = L.cross_validate(df, "y", "id", k=3, learner=learner)
+        assert cv.mean > 0.95
+        assert L.fit(df, "y", learner, exclude=["id"], classes=[0, 1]).drivers()[0][0] == "code"
+
+
+def test_level_statistics_never_use_a_row_s_own_label(spark):
+    df = spark.range(2000).select("id", F.concat(F.lit("only "), "id").alias("name"), (keyed_hash("coin", "id") % 2).cast("int").alias("y"))
+    assert L.cross_validate(df, "y", "id", k=3, learner=L.tree()).mean < 0.6
+
+
+def test_plan_may_drop_the_key(line):
+    cv = L.cross_validate(line, "y", "id", k=3, learner=L.linear(), cleaning={"columns_to_drop": ["id", "c"]})
+    assert len(cv.fold_scores) == 3
+    run = W.run_cv(line, "y", "id", W.Plans(cleaning={"columns_to_drop": ["id"]}), test=line.drop("y"), learner=L.linear())
+    assert run.submission.count() == 240
+
+
+def test_weights_reach_the_score(spark):
+    df = spark.range(300).select("id", F.lit(1.0).alias("x"), F.when(F.col("id") % 10 == 0, 100.0).otherwise(1.0).alias("y"), F.when(F.col("id") % 10 == 0, 0.001).otherwise(1.0).alias("w"))
+    plain = L.cross_validate(df.drop("w"), "y", "id", k=3, learner=L.constant(), metric="mae", stratified=False)
+    heavy = L.cross_validate(df, "y", "id", k=3, learner=L.constant(), metric="mae", weight="w", stratified=False)
+    assert plain.mean < -5 and heavy.mean > -1
+
+
+def test_metrics_of_classes_in_cross_validation(spark):
+    df = spark.range(600).select("id", (F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 3).alias("y"))
+    assert L.cross_validate(df, "y", "id", k=3, learner=L.tree(), metric="roc_auc").mean > 0.99
+    two = df.withColumn("y", F.col("y") % 2)
+    assert L.cross_validate(two, "y", "id", k=3, learner=L.tree(), metric="f1").mean > 0.99
