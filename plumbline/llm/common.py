@@ -10,6 +10,7 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,9 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, name: str, limit: int):
     """Parts of a batch with about ``limit`` bytes of text each, so that work arrays stay small."""
-    sizes = np.array([len(x) for x in texts(batch, name)], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0)
     start, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
+    for i, n in enumerate(sizes.to_pylist()):
         if i > start and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
@@ -58,7 +59,7 @@ def slices(batch: pa.RecordBatch, name: str, limit: int):
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -135,13 +135,19 @@ def _round(texts_df: DataFrame, window: int, k: int, want_rest: bool, keep_text:
     joined = texts_df.join(lists, "doc_id", "left").select("row", "base", "doc_id", "text", "anchors", *extra)
 
     def sort_out(batches):
-        for batch in batches:
-            words = [x.split() for x in texts(batch, "text")]
-            alone = batch.column(4).is_null()
-            digest = [hashlib.sha256(b" ".join(w)).hexdigest() if one else None for w, one in zip(words, alone.to_pylist())]
-            text = batch.column(3) if keep_text else pc.if_else(alone, pa.scalar(None, batch.column(3).type), batch.column(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], text, *batch.columns[4:], alone, pa.array([len(w) for w in words], pa.int64()), pa.array(digest, pa.string())],
-                                             [*batch.schema.names, "alone", "n_words", "kept_sha256"])
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                alone = batch.column(4).is_null()
+                sizes, digest = [], []
+                for text, one in zip(texts(batch, "text"), alone.to_pylist()):
+                    words = text.split()
+                    sizes.append(len(words))
+                    digest.append(hashlib.sha256(b" ".join(words)).hexdigest() if one else None)
+                text = batch.column(3)
+                if not keep_text:
+                    text = pa.array([None if one else x for x, one in zip(text.to_pylist(), alone.to_pylist())], text.type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], text, *batch.columns[4:], alone, pa.array(sizes, pa.int64()), pa.array(digest, pa.string())],
+                                                 [*batch.schema.names, "alone", "n_words", "kept_sha256"])
 
     schema = T.StructType([*joined.schema.fields, *T._parse_datatype_string("alone boolean, n_words long, kept_sha256 string").fields])
     sorted_out = settled(joined.mapInArrow(sort_out, schema))
@@ -186,11 +192,11 @@ def _round(texts_df: DataFrame, window: int, k: int, want_rest: bool, keep_text:
 
     def stream(batches):
         known, automaton = None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
             rows = []
-            for ref, row, base, doc, text, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            for ref, row, base, doc, text, parts in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5)):
                 if known != ref:
-                    known, automaton = ref, Automaton([p.encode().split() for p in sorted(parts)])
+                    known, automaton = ref, Automaton([p.encode().split() for p in sorted(parts.as_py())])
                 words = text.encode().split()
                 found = automaton.matches(words) >= window
                 covered = np.zeros(len(words) + 1, np.int64)
@@ -229,20 +235,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: li
     gone = spans.unionByName(more).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
 
     def remove(batches):
-        for batch in batches:
-            removed, digest, left = [], [], []
-            for text, own, cuts in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(1).to_pylist()):
-                words = own.split()
-                stay = np.ones(len(words), bool)
-                for cut in cuts or ():
-                    stay[cut["first"]:cut["end"]] = False
-                words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                removed.append(len(stay) - len(words))
-                joined = b" ".join(words)
-                digest.append(hashlib.sha256(joined).hexdigest())
-                left.append(joined.decode() if removed[-1] else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(left if keep_text else [None] * len(left), pa.string())],
-                                             ["kept", "n_words", "n_removed", "kept_sha256", "text"])
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                removed, digest, left = [], [], []
+                for text, own, cuts in zip(batch.column(0), texts(batch, "text"), batch.column(1).to_pylist()):
+                    words = own.split()
+                    stay = np.ones(len(words), bool)
+                    for cut in cuts or ():
+                        stay[cut["first"]:cut["end"]] = False
+                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
+                    removed.append(len(stay) - len(words))
+                    joined = b" ".join(words)
+                    digest.append(hashlib.sha256(joined).hexdigest())
+                    if keep_text:
+                        left.append(joined.decode() if removed[-1] else text.as_py())
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(removed, pa.int64()), pa.array(digest, pa.string()),
+                                                  pa.array(left if keep_text else [None] * len(digest), pa.string())], ["kept", "n_words", "n_removed", "kept_sha256", "text"])
 
     judged = rows.where(~F.col("alone")).join(gone, "row", "left").select("text", "gone", "kept", "n_words")
     schema = T.StructType([rows.schema["kept"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string, text string").fields])
