@@ -10,20 +10,23 @@ class; all that follows works on one document for each class.
 4. Members of a list that are not in one component yet are compared with each other by the same estimate, within
    size classes that a link cannot cross by more than one, and the pairs above it are verified as well.
 
-A list with very many members cannot be what links two documents unless they share many such lists (a pair over
-the threshold shares nearly all retained values), so a document stays in such lists only if it has that many.
+A pair over the threshold shares nearly all retained values, so it also meets in a list other than the most frequent
+ones of either document: each leaves its ``SHARED - 1`` longest lists. A passage or line that very many documents
+share thus brings together only those that consist of little else.
 Pairs that share fewer than ``SHARED`` of ``K`` sampled values are never looked at; a pair at the threshold does
 so with a probability below 1e-8.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import CASE_FOLD, WordHashes, columns, gram_hashes, settled, texts
@@ -31,9 +34,7 @@ from plumbline.llm.components import components
 
 WORDS = 5
 #: Values in a sketch, and how many of a union's sample two sets over the threshold share at least.
-K, SHARED = 32, 9
-#: Members from which a list is treated as a frequent value.
-FREQUENT = 1000
+K, SHARED = 48, 18
 #: Identifiers (8 bytes each) up to which they are broadcast instead of shuffling all texts.
 BROADCAST_IDS = 1_000_000
 
@@ -94,60 +95,111 @@ def _links(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return settled(both.mapInArrow(verify, f"a {kind}, b {kind}").distinct())
 
 
+#: Members up to which the pairs of a list are looked at one by one.
+SMALL_LIST = 12
+
+
+def _common(sketches_of: list[np.ndarray], block: int = 256, wide: int = 2048):
+    """(first, counts): how many values the sketches from ``first`` on have in common with every sketch, a block of rows at a time."""
+    size = np.array([len(x) for x in sketches_of])
+    row = np.repeat(np.arange(len(size)), size)
+    values, column, times = np.unique(np.concatenate(sketches_of), return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times > 1)
+    if len(again) <= wide:
+        place = np.full(len(values), -1)
+        place[again] = np.arange(len(again))
+        has = np.zeros((len(size), len(again)), np.float32)
+        seen = place[column] >= 0
+        has[row[seen], place[column[seen]]] = 1
+        for i in range(0, len(size), block):
+            yield i, has[i:i + block] @ has.T
+    else:
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flag = np.zeros(len(values), np.int64)
+        for first in range(0, len(size), block):
+            counts = np.zeros((min(block, len(size) - first), len(size)), np.int64)
+            for i in range(len(counts)):
+                own = column[ends[first + i]:ends[first + i + 1]]
+                flag[own] = 1
+                running = np.concatenate([[0], np.cumsum(flag[column])])
+                counts[i] = running[ends[1:]] - running[ends[:-1]]
+                flag[own] = 0
+            yield first, counts
+
+
+class Member(NamedTuple):
+    """A class in an inverted list."""
+
+    own: bool
+    rep: Any
+    component: Any
+    size: int
+    sketch: frozenset
+    lists: frozenset
+
+
+def _sampled(x: Member, y: Member) -> bool:
+    """Whether the sample of the union allows the threshold."""
+    sample = sorted(x.sketch | y.sketch)[:K]
+    return len(x.sketch & y.sketch & set(sample)) * K >= len(sample) * SHARED
+
+
+def _meeting(members: list[Member], v: int) -> list[tuple]:
+    """Pairs of one list in different components that the sizes and the sample allow, each in the least list that both are in."""
+    m = len(members)
+    pairs: Iterable[tuple[int, int]]
+    if m <= SMALL_LIST:
+        pairs = [(i, j) for i, x in enumerate(members) if x.own for j, y in enumerate(members) if (j > i or not y.own)
+                 and 4 * min(x.size, y.size) >= 3 * max(x.size, y.size)]
+    else:
+        n, own = np.array([x.size for x in members]), np.array([x.own for x in members])
+        comp = np.unique([str(x.component) for x in members], return_inverse=True)[1]
+        held = np.minimum(n, K)
+        sketches_of = [np.fromiter(x.sketch, np.int64, len(x.sketch)) for x in members]
+        before = [np.array([u for u in x.lists if u < v], np.int64) for x in members]
+        pairs = []
+        for (i, counts), (_, earlier) in zip(_common(sketches_of), _common(before)):
+            at = np.arange(i, i + len(counts))[:, None]
+            meet = own[at] & ((np.arange(m) > at) | ~own) & (comp[at] != comp) & (earlier == 0)
+            meet &= (4 * np.minimum(n[at], n) >= 3 * np.maximum(n[at], n)) & (counts * K >= SHARED * np.minimum(K, np.maximum(held[at], held)))
+            pairs.extend((x + i, y) for x, y in np.argwhere(meet).tolist())
+    out = []
+    for i, j in pairs:
+        x, y = members[i], members[j]
+        if x.component != y.component and min(x.lists & y.lists) == v and _sampled(x, y):
+            out.append((min(x.rep, y.rep), max(x.rep, y.rep)))
+    return out
+
+
 def _within(lists: DataFrame, kind: str) -> DataFrame:
     """Pairs of members of one list in different components that the sample allows.
 
-    ``lists``: v, size class, own (false for members that are only met from the next smaller class), rep, component, n, sketch.
+    ``lists``: v, size class, own (false for members that are only met from the next smaller class), rep, component, n, sketch,
+    and the lists of the member.
     """
 
     def compare(batches):
-        key, rows = None, []
-
-        def pairs_of(rows):
-            rep, comp = [r["rep"] for r in rows], np.unique([str(r["component"]) for r in rows], return_inverse=True)[1]
-            n, own = np.array([r["n_shingles"] for r in rows]), np.array([r["own"] for r in rows])
-            sketch = np.full((len(rows), K), np.iinfo(np.int64).max)
-            for i, r in enumerate(rows):
-                sketch[i, :len(r["sketch"])] = r["sketch"]
-            held = np.minimum(n, K)
-            code = np.unique(sketch, return_inverse=True)[1].reshape(sketch.shape)
-            padding = sketch == np.iinfo(np.int64).max
-            flag = np.zeros(code.max() + 2, bool)
-            found = []
-            for i in np.flatnonzero(own).tolist():
-                others = np.flatnonzero((comp != comp[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
-                others = others[(others > i) | ~own[others]]
-                for at in range(0, len(others), 4096):
-                    part = others[at:at + 4096]
-                    flag[code[i, :held[i]]] = True
-                    near = part[(flag[code[part]] & ~padding[part]).sum(axis=1) * K >= SHARED * np.minimum(K, np.maximum(held[part], held[i]))]
-                    flag[code[i, :held[i]]] = False
-                    for j in near.tolist():
-                        union = np.union1d(sketch[i, :held[i]], sketch[j, :held[j]])[:K]
-                        common = np.isin(union, np.intersect1d(sketch[i, :held[i]], sketch[j, :held[j]])).sum()
-                        if common * K >= len(union) * SHARED:
-                            found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-            return found
-
-        def batch_of(found, type_):
+        key, members, type_ = None, [], None
+
+        def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], type_), pa.array([p[1] for p in found], type_)], ["a", "b"])
 
-        type_ = None
         for batch in batches:
             type_ = batch.schema.field("rep").type
             found = []
-            for row in batch.to_pylist():
-                if (row["v"], row["size_class"]) != key:
-                    found += pairs_of(rows) if len(rows) > 1 else []
-                    key, rows = (row["v"], row["size_class"]), []
-                rows.append(row)
+            for v, size_class, own, rep, component, n, sketch, kept in zip(*(c.to_pylist() for c in batch.columns)):
+                if (v, size_class) != key:
+                    if len(members) > 1:
+                        found += _meeting(members, key[0])
+                    key, members = (v, size_class), []
+                members.append(Member(own, rep, component, n, frozenset(sketch), frozenset(kept)))
             if found:
-                yield batch_of(found, type_)
-        if len(rows) > 1:
-            yield batch_of(pairs_of(rows), type_)
+                yield batch_of(found)
+        if len(members) > 1:
+            yield batch_of(_meeting(members, key[0]))
 
-    dealt = lists.repartition("v", "size_class").sortWithinPartitions("v", "size_class", "rep")
-    return dealt.mapInArrow(compare, f"a {kind}, b {kind}")
+    dealt = lists.select("v", "size_class", "own", "rep", "component", "n_shingles", "sketch", "kept").repartition("v", "size_class")
+    return dealt.sortWithinPartitions("v", "size_class", "rep").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,10 +218,12 @@ def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_co
 
     postings = by_rep.select("rep", F.least(F.lit(SHARED), F.ceil(F.size("sketch") * threshold / 100)).cast("long").alias("need"), F.explode("sketch").alias("v"))
     values = postings.groupBy("v").agg(F.count("*").alias("members"), F.min("rep").alias("least"), F.max("rep").alias("most")).where(F.col("least") < F.col("most"))
-    lists = settled(postings.join(values.drop("most"), "v"))
-    frequent = F.col("members") > FREQUENT
-    many = lists.where(frequent).groupBy("rep").agg(F.count("*").alias("n_frequent"))
-    lists = settled(lists.join(many, "rep", "left").where(~frequent | (F.col("n_frequent") >= F.col("need"))).select("v", "rep", "least", "members"))
+    # two classes with ``need`` values in common also share one that is not among the need - 1 most frequent of either
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("members"), F.desc("v")))
+    lists = postings.join(values.select("v", "members"), "v").withColumn("place", place).where(F.col("place") >= F.col("need")).select("v", "rep")
+    lists = settled(lists)
+    least = lists.groupBy("v").agg(F.min("rep").alias("least"))
+    lists = lists.join(least, "v")
 
     def sketch_of(c: str) -> DataFrame:
         return by_rep.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -183,7 +237,9 @@ def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_co
     placed = settled(placed.select("v", "rep", "component"))
     mixed_lists = placed.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") < F.col("y")).select("v")
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
-    members = placed.join(mixed_lists, "v").join(by_rep, "rep").select("v", size_class.alias("size_class"), "rep", "component", "n_shingles", "sketch")
+    members = settled(placed.join(mixed_lists, "v"))
+    kept = members.groupBy("rep").agg(F.collect_set("v").alias("kept"))
+    members = members.join(kept, "rep").join(by_rep, "rep").select("v", size_class.alias("size_class"), "rep", "component", "n_shingles", "sketch", "kept")
     # in a class meet its own members and those of the next larger one
     members = members.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
     members = members.withColumn("size_class", F.when(F.col("own"), F.col("size_class")).otherwise(F.col("size_class") - 1))
