@@ -187,7 +187,8 @@ def _round(texts_df: DataFrame, window: int, k: int, want_rest: bool, keep_text:
 
     passages = settled(sorted_out.where(~F.col("alone")).select("row", "base", "doc_id", "text", "anchors").mapInArrow(cut, f"ref {kind}, row long, base long, doc_id {kind}, text string"))
     # a reference's passages: parts of one document, each text once even if its rows repeat
-    references = passages.where(F.col("doc_id") == F.col("ref")).groupBy("ref").agg(F.collect_set("text").alias("parts"))
+    # written, so that the join reads both sides as plain tables and can split a reference with very many passages
+    references = settled(passages.where(F.col("doc_id") == F.col("ref")).groupBy("ref").agg(F.collect_set("text").alias("parts")))
     streams = passages.where(F.col("doc_id") > F.col("ref")).join(references, "ref").sortWithinPartitions("ref")
 
     def stream(batches):
