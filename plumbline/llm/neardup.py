@@ -8,7 +8,8 @@ class; all that follows works on one document for each class.
 2. The sample of the union estimates the overlap of such a pair; pairs far below the threshold go.
 3. Full sets of the remaining pairs are rebuilt from the texts and their Jaccard similarity decides.
 4. Members of a list that are not in one component yet are compared with each other by the same estimate, within
-   size classes that a link cannot cross by more than one, and the pairs above it are verified as well.
+   size classes that a link cannot cross by more than one, and the pairs above it are verified as well. Long lists
+   are cut into blocks that meet pair by pair; blocks of one component do not meet each other.
 
 A pair over the threshold shares nearly all retained values, so it also meets in a list other than the most frequent
 ones of either document: each leaves its ``SHARED - 1`` longest lists. A passage or line that very many documents
@@ -19,7 +20,7 @@ so with a probability below 1e-8.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import Any, NamedTuple
 
@@ -95,12 +96,14 @@ def _links(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return settled(both.mapInArrow(verify, f"a {kind}, b {kind}").distinct())
 
 
-#: Members up to which the pairs of a list are looked at one by one.
+#: Members up to which the pairs of a meeting are looked at one by one.
 SMALL_LIST = 12
+#: Members up to which a list is one meeting; longer ones are cut into blocks of about so many.
+BLOCK = 1024
 
 
-def _common(sketches_of: list[np.ndarray], block: int = 256, wide: int = 2048):
-    """(first, counts): how many values the sketches from ``first`` on have in common with every sketch, a block of rows at a time."""
+def _common(sketches_of: list[np.ndarray], rows: int, start: int, block: int = 256, wide: int = 2048):
+    """(first, counts): how many values the sketches from ``first`` on, of the first ``rows``, have in common with those from ``start`` on, a block of rows at a time."""
     size = np.array([len(x) for x in sketches_of])
     row = np.repeat(np.arange(len(size)), size)
     values, column, times = np.unique(np.concatenate(sketches_of), return_inverse=True, return_counts=True)
@@ -111,18 +114,18 @@ def _common(sketches_of: list[np.ndarray], block: int = 256, wide: int = 2048):
         has = np.zeros((len(size), len(again)), np.float32)
         seen = place[column] >= 0
         has[row[seen], place[column[seen]]] = 1
-        for i in range(0, len(size), block):
-            yield i, has[i:i + block] @ has.T
+        for i in range(0, rows, block):
+            yield i, has[i:min(i + block, rows)] @ has[start:].T
     else:
         ends = np.concatenate([[0], np.cumsum(size)])
         flag = np.zeros(len(values), np.int64)
-        for first in range(0, len(size), block):
-            counts = np.zeros((min(block, len(size) - first), len(size)), np.int64)
+        for first in range(0, rows, block):
+            counts = np.zeros((min(block, rows - first), len(size) - start), np.int64)
             for i in range(len(counts)):
                 own = column[ends[first + i]:ends[first + i + 1]]
                 flag[own] = 1
                 running = np.concatenate([[0], np.cumsum(flag[column])])
-                counts[i] = running[ends[1:]] - running[ends[:-1]]
+                counts[i] = running[ends[start + 1:]] - running[ends[start:-1]]
                 flag[own] = 0
             yield first, counts
 
@@ -130,7 +133,6 @@ def _common(sketches_of: list[np.ndarray], block: int = 256, wide: int = 2048):
 class Member(NamedTuple):
     """A class in an inverted list."""
 
-    own: bool
     rep: Any
     component: Any
     size: int
@@ -144,62 +146,104 @@ def _sampled(x: Member, y: Member) -> bool:
     return len(x.sketch & y.sketch & set(sample)) * K >= len(sample) * SHARED
 
 
-def _meeting(members: list[Member], v: int) -> list[tuple]:
-    """Pairs of one list in different components that the sizes and the sample allow, each in the least list that both are in."""
-    m = len(members)
-    pairs: Iterable[tuple[int, int]]
-    if m <= SMALL_LIST:
-        pairs = [(i, j) for i, x in enumerate(members) if x.own for j, y in enumerate(members) if (j > i or not y.own)
-                 and 4 * min(x.size, y.size) >= 3 * max(x.size, y.size)]
-    else:
-        n, own = np.array([x.size for x in members]), np.array([x.own for x in members])
-        comp = np.unique([str(x.component) for x in members], return_inverse=True)[1]
-        held = np.minimum(n, K)
-        sketches_of = [np.fromiter(x.sketch, np.int64, len(x.sketch)) for x in members]
-        before = [np.array([u for u in x.lists if u < v], np.int64) for x in members]
-        pairs = []
-        for (i, counts), (_, earlier) in zip(_common(sketches_of), _common(before)):
-            at = np.arange(i, i + len(counts))[:, None]
-            meet = own[at] & ((np.arange(m) > at) | ~own) & (comp[at] != comp) & (earlier == 0)
-            meet &= (4 * np.minimum(n[at], n) >= 3 * np.maximum(n[at], n)) & (counts * K >= SHARED * np.minimum(K, np.maximum(held[at], held)))
-            pairs.extend((x + i, y) for x, y in np.argwhere(meet).tolist())
-    out = []
-    for i, j in pairs:
-        x, y = members[i], members[j]
-        if x.component != y.component and min(x.lists & y.lists) == v and _sampled(x, y):
-            out.append((min(x.rep, y.rep), max(x.rep, y.rep)))
-    return out
-
-
-def _within(lists: DataFrame, kind: str) -> DataFrame:
-    """Pairs of members of one list in different components that the sample allows.
-
-    ``lists``: v, size class, own (false for members that are only met from the next smaller class), rep, component, n, sketch,
-    and the lists of the member.
+def _meeting(left: list[Member], right: list[Member], v: int, among: bool) -> Iterator[list[tuple]]:
+    """Pairs of one list in different components that the sizes and the sample allow, each in the least list that both are in.
+
+    The left members meet the right ones, and each other if ``among``. Pairs come a block of rows at a time.
+    """
+    members, start = left + right, 0 if among else len(left)
+    others = members[start:]
+
+    def allowed(pairs: Iterable[tuple[int, int]]) -> list[tuple]:
+        out = []
+        for i, j in pairs:
+            x, y = left[i], others[j]
+            if x.component != y.component and min(x.lists & y.lists) == v and _sampled(x, y):
+                out.append((min(x.rep, y.rep), max(x.rep, y.rep)))
+        return out
+
+    if len(members) <= SMALL_LIST:
+        yield allowed((i, j) for i, x in enumerate(left) for j, y in enumerate(others) if (j > i or not among) and 4 * min(x.size, y.size) >= 3 * max(x.size, y.size))
+        return
+    n = np.array([x.size for x in members])
+    comp = np.unique([str(x.component) for x in members], return_inverse=True)[1]
+    held = np.minimum(n, K)
+    sketches_of = [np.fromiter(x.sketch, np.int64, len(x.sketch)) for x in members]
+    before = [np.array([u for u in x.lists if u < v], np.int64) for x in members]
+    for (i, counts), (_, earlier) in zip(_common(sketches_of, len(left), start), _common(before, len(left), start)):
+        at = np.arange(i, i + len(counts))[:, None]
+        meet = (comp[at] != comp[start:]) & (earlier == 0)
+        if among:
+            meet &= np.arange(len(others)) > at
+        meet &= (4 * np.minimum(n[at], n[start:]) >= 3 * np.maximum(n[at], n[start:])) & (counts * K >= SHARED * np.minimum(K, np.maximum(held[at], held[start:])))
+        yield allowed((x + i, y) for x, y in np.argwhere(meet).tolist())
+
+
+def _meetings(listed: DataFrame) -> DataFrame:
+    """The meetings (a, b) within v and size class that each member takes part in, on the left or not: v, size_class, rep, component, a, b, left.
+
+    ``listed``: v, size_class, own (false for members that are only met from the next smaller class), rep, component. A list of
+    up to ``BLOCK`` members is one meeting, with its own members on the left. A longer one is cut by the hash of rep into
+    blocks, those of a large component apart from the others, and every own block meets itself and the later ones
+    unless both are of one component.
+    """
+    key, cell = ["v", "size_class"], ["v", "size_class", "own"]
+    sizes = settled(listed.groupBy(*cell, "component").agg(F.count("*").alias("n")))
+    lists = settled(sizes.groupBy(*key).agg(F.sum("n").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("own").alias("own"))
+                    .where((F.col("x") < F.col("y")) & F.col("own")).select(*key, "members"))
+    short, long = (lists.where(c).select(*key) for c in (F.col("members") <= BLOCK, F.col("members") > BLOCK))
+    whole = listed.join(short, key).select(*key, "rep", "component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("own").alias("left"))
+    if long.isEmpty():
+        return whole
+
+    # components with a block's worth of members get blocks of their own; the others share blocks (pure is null)
+    parts = settled(sizes.join(long, key).groupBy(*cell, F.when(F.col("n") >= BLOCK, F.col("component")).alias("pure"))
+                    .agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("salts")))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("own"), "pure", "salt"))
+    blocks = settled(parts.select(*cell, "pure", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).withColumn("block", number))
+    first = blocks.where("own").select(*key, F.col("block").alias("a"), F.col("pure").alias("pure_a"))
+    second = blocks.select(*key, F.col("block").alias("b"), F.col("pure").alias("pure_b"))
+    pairs = settled(first.join(second, key).where((F.col("a") <= F.col("b")) & ~F.coalesce(F.col("pure_a") == F.col("pure_b"), F.lit(False))).select(*key, "a", "b"))
+    sides = pairs.select(*key, F.col("a").alias("block"), "a", "b", F.lit(True).alias("left")).union(
+        pairs.where("a <> b").select(*key, F.col("b").alias("block"), "a", "b", F.lit(False).alias("left")))
+
+    alone = parts.where("pure is not null").select(*cell, F.col("pure").alias("component"), "pure", "salts")
+    shared = parts.where("pure is null").select(*cell, F.col("salts").alias("shared"))
+    placed = listed.join(long, key).join(alone, [*cell, "component"], "left").join(shared, cell, "left")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("salts", "shared")).cast("int"))
+    numbers = blocks.select(*[F.col(c).alias(f"of_{c}") for c in (*cell, "pure", "salt")], "block")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*cell, "pure", "salt")]
+    placed = placed.join(numbers, same).select(*key, "block", "rep", "component")
+    return whole.union(placed.join(sides, [*key, "block"]).select(*key, "rep", "component", "a", "b", "left"))
+
+
+def _within(met: DataFrame, kind: str) -> DataFrame:
+    """Pairs of members of one meeting in different components that the sample allows.
+
+    ``met``: what ``_meetings`` gives, with n_shingles, sketch, and the lists of the member.
     """
 
     def compare(batches):
-        key, members, type_ = None, [], None
+        key, left, right, type_ = None, [], [], None
 
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], type_), pa.array([p[1] for p in found], type_)], ["a", "b"])
+        def pairs():
+            if left and len(left) + len(right) > 1:
+                for found in _meeting(left, right, key[0], key[2] == key[3]):
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], type_), pa.array([p[1] for p in found], type_)], ["a", "b"])
 
         for batch in batches:
             type_ = batch.schema.field("rep").type
-            found = []
-            for v, size_class, own, rep, component, n, sketch, kept in zip(*(c.to_pylist() for c in batch.columns)):
-                if (v, size_class) != key:
-                    if len(members) > 1:
-                        found += _meeting(members, key[0])
-                    key, members = (v, size_class), []
-                members.append(Member(own, rep, component, n, frozenset(sketch), frozenset(kept)))
-            if found:
-                yield batch_of(found)
-        if len(members) > 1:
-            yield batch_of(_meeting(members, key[0]))
-
-    dealt = lists.select("v", "size_class", "own", "rep", "component", "n_shingles", "sketch", "kept").repartition("v", "size_class")
-    return dealt.sortWithinPartitions("v", "size_class", "rep").mapInArrow(compare, f"a {kind}, b {kind}")
+            for v, size_class, a, b, is_left, rep, component, n, sketch, kept in zip(*(c.to_pylist() for c in batch.columns)):
+                if (v, size_class, a, b) != key:
+                    yield from pairs()
+                    key, left, right = (v, size_class, a, b), [], []
+                (left if is_left else right).append(Member(rep, component, n, frozenset(sketch), frozenset(kept)))
+        yield from pairs()
+
+    key = ["v", "size_class", "a", "b"]
+    dealt = met.select(*key, "left", "rep", "component", "n_shingles", "sketch", "kept").repartition(*key)
+    return dealt.sortWithinPartitions(*key, "rep").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,11 +283,11 @@ def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_co
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     members = settled(placed.join(mixed_lists, "v"))
     kept = members.groupBy("rep").agg(F.collect_set("v").alias("kept"))
-    members = members.join(kept, "rep").join(by_rep, "rep").select("v", size_class.alias("size_class"), "rep", "component", "n_shingles", "sketch", "kept")
     # in a class meet its own members and those of the next larger one
-    members = members.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
-    members = members.withColumn("size_class", F.when(F.col("own"), F.col("size_class")).otherwise(F.col("size_class") - 1))
-    more = settled(_within(members, kind).distinct().join(pairs, ["a", "b"], "left_anti"))
+    listed = members.join(by_rep.select("rep", size_class.alias("size_class")), "rep").select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    listed = settled(listed.withColumn("size_class", F.when(F.col("own"), F.col("size_class")).otherwise(F.col("size_class") - 1)))
+    met = _meetings(listed).join(kept, "rep").join(by_rep, "rep")
+    more = settled(_within(met, kind).distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         joined = components(links.union(_links(more, source, threshold)))
 

@@ -294,6 +294,32 @@ def test_near_duplicates_in_chains_and_shared_passages(spark):
     assert {r.doc_id: tuple(r)[1:] for r in neardup.groups(df).collect()} == brute.near(rows)
 
 
+def test_near_duplicates_in_blocks_of_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    base = prose(150).split()
+    rows = [(i, " ".join(w if rnd.random() > 0.05 * (i % 3) / 2 else f"e{i}{w}" for w in base)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in neardup.groups(df).collect()} == brute.near(rows)
+
+
+def test_meetings_are_bounded_and_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    # v 1: a large component in two size classes, and small ones; v 2: a short list; v 3: one component only
+    rows = [(1, 4, i % 3 > 0, i, 0 if i < 150 else i // 2) for i in range(200)] + [(2, 4, i != 5, i, i // 3) for i in range(10)] + [(3, 4, True, i, 0) for i in range(60)]
+    met = neardup._meetings(spark.createDataFrame(rows, "v long, size_class int, own boolean, rep long, component long")).collect()
+    tables = collections.defaultdict(lambda: ([], []))
+    for r in met:
+        tables[r.v, r.a, r.b][not r.left].append(r)
+    assert max(len(x) for sides in tables.values() for x in sides) <= 40
+    got = collections.Counter()
+    for (v, a, b), (left, right) in tables.items():
+        found = [(x, y) for x in left for y in right] + [(x, y) for x in left for y in left if a == b and x.rep < y.rep]
+        assert any(x.component != y.component for x, y in found) or len(found) < 2
+        got.update((v, *sorted((x.rep, y.rep))) for x, y in found if x.component != y.component)
+    want = {(v, *sorted((x, y))) for v, _, own, x, c in rows if own for w, _, too, y, d in rows if w == v and c != d and (x < y or not too)}
+    assert set(got) == want and set(got.values()) == {1}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70), (None, 3), (90, 80), (80, 85)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
