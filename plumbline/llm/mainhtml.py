@@ -4,7 +4,8 @@ Every element's subtree is hashed from its tag, its class and its text. A first
 of a host the hashes of its subtrees; Spark counts on how many pages of the host each stands. A second pass parses
 the pages again, takes the article's blocks and leaves out those in subtrees that the host repeats on many
 pages. Elements whose tag, role or class says that they are not the article (menus, footers, comments, adverts,
-forms, scripts) go in any case. Prose inside an article is no template however often a site prints it, so mirrored articles
+forms, scripts) go in any case; a class or id says so as a whole (``sidebar``, not ``has-sidebar``), and not of an
+element that holds the page's article. Prose inside an article is no template however often a site prints it, so mirrored articles
 stay whole; outside of articles prose goes when half of the host's pages have it.
 """
 
@@ -53,10 +54,14 @@ KEPT, PROSE_OUTSIDE, REPEATS = range(3)
 class Element:
     """An open block element, or any element within a dropped one."""
 
-    __slots__ = ("tag", "names", "dropped", "region", "index", "parts", "prose", "links", "text")
+    __slots__ = ("tag", "names", "dropped", "region", "index", "named", "begins", "parts", "prose", "links", "text")
 
-    def __init__(self, tag: str, names: str, dropped: bool, region: int, index: int):
+    def __init__(self, tag: str, names: str, dropped: bool, region: int, index: int, named: tuple[int, ...] | None = (), begins: int = PAGE):
         self.tag, self.names, self.dropped, self.region, self.index = tag, names, dropped, region, index
+        #: Where the elements begin that drop this one by name; none if a tag, a role or a comment drops it.
+        self.named = named
+        #: The region that begins here.
+        self.begins = begins
         self.parts: list[bytes] = []
         self.prose = tag in PROSE
         self.links = self.text = 0
@@ -67,11 +72,19 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def parse(source: str) -> tuple[list[tuple[int, list[int], str]], list[tuple[int, int]]]:
+def _says(names: str, listed: set[str]) -> bool:
+    """Whether a class or id consists of listed words only: ``share`` and ``social-share`` do, ``content-with-share`` does not."""
+    return any((words := set(re.findall("[a-z]+", token))) and words <= listed for token in names.split())
+
+
+def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[int, list[int], str]], list[tuple[int, int]]]:
     """Blocks (region, indices of the enclosing subtrees, text) in page order, and subtrees (hash, kind).
 
     Indices point into the subtrees; prose is text in paragraphs, headings or quotes that is not mostly links.
+    Elements that begin at ``spared`` are not dropped by their names.
     """
+    hidden: list[tuple[int, tuple[int, ...], int]] = []
+    shown = False
     blocks: list[tuple[int, list[int], str]] = []
     subtrees: list[tuple[int, int]] = []
     stack = [Element("", "", False, 0, -1)]
@@ -79,7 +92,7 @@ def parse(source: str) -> tuple[list[tuple[int, list[int], str]], list[tuple[int
     linked, in_link = 0, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, shown
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
@@ -89,6 +102,7 @@ def parse(source: str) -> tuple[list[tuple[int, list[int], str]], list[tuple[int
             top.links += min(linked, len(text))
             if not top.dropped:
                 blocks.append((top.region, [e.index for e in stack if e.index >= 0], text))
+                shown = shown or top.region > PAGE
         linked = 0
 
     def close() -> None:
@@ -99,6 +113,8 @@ def parse(source: str) -> tuple[list[tuple[int, list[int], str]], list[tuple[int
         parent.text += done.text
         parent.links += done.links
         parent.prose = parent.prose or done.prose
+        if done.begins and done.named and done.text:
+            hidden.append((done.begins, done.named, done.text - done.links))
         if done.index >= 0 and done.text and not done.dropped:
             if done.links * 2 >= done.text or not done.prose:
                 kind = REPEATS
@@ -152,25 +168,32 @@ def parse(source: str) -> tuple[list[tuple[int, list[int], str]], list[tuple[int
         attributes = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(found[3])} if found[3] else {}
         parent = stack[-1]
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-        words = set(re.split(r"[^a-z]+", names)) if names else set()
         role = attributes.get("role")
         region = ARTICLE if tag == "article" else max(parent.region, MAIN if tag == "main" or role == "main" else PAGE)
         if tag in CONTAINERS:
-            dropped = tag == "article" and bool(words & COMMENT_NAMES)
+            dropped, by_name = tag == "article" and _says(names, COMMENT_NAMES), False
         else:
-            dropped = tag in DROPPED or role in DROPPED_ROLES or bool(words & DROPPED_NAMES) or \
-                (parent.region == PAGE and (tag == "header" or "header" in words))
-        dropped = dropped or parent.dropped
+            dropped = tag in DROPPED or role in DROPPED_ROLES or (parent.region == PAGE and tag == "header")
+            by_name = lt not in spared and (_says(names, DROPPED_NAMES) or (parent.region == PAGE and _says(names, {"header"})))
+        named = None if dropped or parent.named is None else parent.named + (lt,) * by_name
+        dropped = dropped or by_name or parent.dropped
+        begins = ARTICLE if tag == "article" else MAIN if tag == "main" or role == "main" else PAGE
         if tag in BLOCKS or dropped:
             flush()
             index = -1
             if tag in BLOCKS and tag not in CONTAINERS:
                 index = len(subtrees)
                 subtrees.append((0, KEPT))
-            stack.append(Element(tag, names, dropped, region, index))
+            stack.append(Element(tag, names, dropped, region, index, named, begins))
     while len(stack) > 1:
         close()
     flush()
+    if hidden and not shown:
+        # the page's article is what few names hide, a main element or the larger part of the text; teasers in a list are neither
+        few = min(len(named) for _, named, _ in hidden)
+        nearest = [x for x in hidden if len(x[1]) == few]
+        if any(begins == MAIN for begins, _, _ in nearest) or sum(n for _, _, n in nearest) >= sum(len(text) for _, _, text in blocks):
+            return parse(source, spared.union(*(named for _, named, _ in nearest)))
     return blocks, subtrees
 
 

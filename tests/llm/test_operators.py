@@ -224,6 +224,20 @@ def test_main_text(spark):
     assert len(rows) == len(pages) and mainhtml.main_text(df.where("false")).count() == 0
 
 
+def test_main_text_of_pages_with_telling_names():
+    def text(source):
+        blocks, _ = mainhtml.parse(source)
+        return mainhtml.article(blocks, set())
+
+    story = "<article class='post comments-open'><p>The story itself</p><div class='social-share'>tweet</div><div class='sidebar'>side</div></article>"
+    for names in ("class='layout has-sidebar'", "id=no-sidebar", "class='content-with-share'", "class=menu-open", "class=overlay", "id=widget class=modal", "class='has-header'", "class=header"):
+        assert text(f"<body><p>Top</p><div {names}>{story}</div></body>") == "The story itself", names
+    assert text("<div class=widget><main><p>Told</p></main></div><p>A longer line outside</p>") == "Told"
+    assert text("<p>Told at some length here</p><div class=related><article><p>teaser</p></article></div>") == "Told at some length here"
+    assert text(f"{story}<div class=related><article><p>teaser</p></article></div><article class=comment><p>no</p></article>") == "The story itself"
+    assert text("<nav class=menu><article><p>x</p></article></nav><p>y</p>") == "y"
+
+
 def test_substrings(spark, docs, none, small):
     assert {r.doc_id: tuple(r)[1:] for r in Q.op8_substring_dedup(spark, SF).collect()} == brute.substrings(small)
     rows = substrings.dedup(docs).collect()
