@@ -5,8 +5,9 @@ of a host the hashes of its subtrees; Spark counts on how many pages of the host
 the pages again, takes the article's blocks and leaves out those in subtrees that the host repeats on many
 pages. Elements whose tag, role or class says that they are not the article (menus, footers, comments, adverts,
 forms, scripts) go in any case; a class or id says so as a whole (``sidebar``, not ``has-sidebar``), and not of an
-element that holds the page's article. Prose inside an article is no template however often a site prints it, so mirrored articles
-stay whole; outside of articles prose goes when half of the host's pages have it.
+element that holds the page's article. What stands inside an article or main element is no template however often a site prints it, so mirrored articles
+stay whole with their lists and tables; only blocks of links go from there, when most of the host's pages have them.
+Outside prose goes when half of the host's pages have it.
 """
 
 from __future__ import annotations
@@ -47,14 +48,16 @@ FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 CONTAINERS = {"html", "body", "article", "main"}
 #: Regions of a page, the best last.
 PAGE, MAIN, ARTICLE = range(3)
-#: Kinds of subtrees: prose in an article is no template; other prose, and what is not prose, can be one.
-KEPT, PROSE_OUTSIDE, REPEATS = range(3)
+#: Kinds of subtrees: what an article or main element holds is no template but for links; prose outside, and what is not prose, can be one.
+KEPT, PROSE_OUTSIDE, REPEATS, LINKS_INSIDE = range(4)
+#: Sets the hash of links inside apart from that of the same block outside.
+INSIDE = 0x9E3779B97F4A7C15
 
 
 class Element:
     """An open block element, or any element within a dropped one."""
 
-    __slots__ = ("tag", "names", "dropped", "region", "index", "named", "begins", "parts", "prose", "links", "text")
+    __slots__ = ("tag", "names", "dropped", "region", "index", "named", "begins", "parts", "prose", "links", "text", "holds")
 
     def __init__(self, tag: str, names: str, dropped: bool, region: int, index: int, named: tuple[int, ...] | None = (), begins: int = PAGE):
         self.tag, self.names, self.dropped, self.region, self.index = tag, names, dropped, region, index
@@ -64,6 +67,8 @@ class Element:
         self.begins = begins
         self.parts: list[bytes] = []
         self.prose = tag in PROSE
+        #: Whether an article or main element stands within.
+        self.holds = False
         self.links = self.text = 0
 
 
@@ -113,13 +118,17 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
         parent.text += done.text
         parent.links += done.links
         parent.prose = parent.prose or done.prose
+        parent.holds = parent.holds or done.holds or (done.region != PAGE and not done.dropped)
         if done.begins and done.named and done.text:
             hidden.append((done.begins, done.named, done.text - done.links))
         if done.index >= 0 and done.text and not done.dropped:
-            if done.links * 2 >= done.text or not done.prose:
-                kind = REPEATS
+            if done.region != PAGE:
+                kind = LINKS_INSIDE if done.links * 2 >= done.text else KEPT
+            elif done.holds:
+                kind = KEPT
             else:
-                kind = KEPT if done.region == ARTICLE else PROSE_OUTSIDE
+                kind = REPEATS if done.links * 2 >= done.text or not done.prose else PROSE_OUTSIDE
+            own ^= INSIDE * (kind == LINKS_INSIDE)
             subtrees[done.index] = (own - (own >> 63 << 64), kind)
 
     at, end = 0, len(source)
@@ -199,7 +208,7 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
 
 #: A subtree is a template if at least so many pages of its host have it, and this share of them.
 MIN_PAGES = 3
-SHARE = {PROSE_OUTSIDE: 0.5, REPEATS: 0.1}
+SHARE = {PROSE_OUTSIDE: 0.5, REPEATS: 0.1, LINKS_INSIDE: 0.75}
 
 
 def article(blocks: list[tuple[int, list[int], str]], templates: set[int]) -> str:
@@ -234,7 +243,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     seen = settled(seen.groupBy("host", "page").agg(F.first("trees").alias("trees")))
     trees = seen.select("host", "page", F.explode("trees").alias("t")).select("host", "page", "t.own", "t.kind")
     sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    share = F.when(F.col("kind") == PROSE_OUTSIDE, SHARE[PROSE_OUTSIDE]).otherwise(SHARE[REPEATS])
+    share = F.when(F.col("kind") == PROSE_OUTSIDE, SHARE[PROSE_OUTSIDE]).when(F.col("kind") == LINKS_INSIDE, SHARE[LINKS_INSIDE]).otherwise(SHARE[REPEATS])
     repeated = (trees.groupBy("host", "own").agg(F.count("*").alias("n"), F.min("kind").alias("kind")).where(F.col("n") >= MIN_PAGES).join(sizes, "host")
                 .where(F.col("n") >= share * F.col("pages")).select("host", "own"))
     templates = trees.join(repeated, ["host", "own"]).groupBy("host", "page").agg(F.collect_set("own").alias("templates"))

@@ -238,6 +238,16 @@ def test_main_text_of_pages_with_telling_names():
     assert text("<nav class=menu><article><p>x</p></article></nav><p>y</p>") == "y"
 
 
+def test_main_text_keeps_lists_and_tables_of_articles(spark):
+    inside = "<h1>T{0}</h1><p>Own {0}</p><table><tr><td>Yes<td>0</table><ul><li>kg</ul><div>plain</div><ul><li><a href=x>Home</a></ul>"
+    pages = [(i, "http://a.example", f"<p>Head {i}</p><div><article>{inside.format(i)}</article></div><div>Foot</div>") for i in range(4)]
+    pages += [(10 + i, "http://m.example", f"<p>Head {i}</p><div><main>{inside.format('')}</main></div>") for i in range(3)]
+    pages += [(20 + i, "http://o.example", f"<p>Own {i}</p><div>Welcome</div>") for i in range(4)]
+    got = {r.page_id: r.text for r in mainhtml.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\nOwn {i}\nYes\n0\nkg\nplain" for i in range(4))
+    assert all(got[10 + i] == "T\nOwn\nYes\n0\nkg\nplain" and got[20 + i] == f"Own {i}" for i in range(3))
+
+
 def test_substrings(spark, docs, none, small):
     assert {r.doc_id: tuple(r)[1:] for r in Q.op8_substring_dedup(spark, SF).collect()} == brute.substrings(small)
     rows = substrings.dedup(docs).collect()
