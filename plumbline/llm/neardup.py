@@ -36,6 +36,8 @@ from plumbline.llm.components import components
 WORDS = 5
 #: Values in a sketch, and how many of a union's sample two sets over the threshold share at least.
 K, SHARED = 48, 18
+#: Per cent of the least threshold for which SHARED, the size ratio of 3:4 and the size classes lose no link.
+LEAST_THRESHOLD = 75
 #: Identifiers (8 bytes each) up to which they are broadcast instead of shuffling all texts.
 BROADCAST_IDS = 1_000_000
 
@@ -251,8 +253,11 @@ def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_co
 
     Words are split at ASCII white space after lower-casing A-Z. Null and empty texts have no set and link with
     nothing; neither do rows with a null id, which are kept. Rows that share an id are one node. Repeated rows
-    get a row each. An empty table gives no rows. Other columns of ``docs`` are not looked at.
+    get a row each. An empty table gives no rows. Other columns of ``docs`` are not looked at. A ``threshold`` below
+    ``LEAST_THRESHOLD`` is refused.
     """
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {LEAST_THRESHOLD}, for which the sketches are made")
     source = columns(docs, doc_id=id_col, text=text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     each = settled(sketches(source))

@@ -344,6 +344,12 @@ def test_meetings_are_bounded_and_hold_every_pair_once(spark, monkeypatch):
     assert set(got) == want and set(got.values()) == {1}
 
 
+def test_near_duplicates_refuse_a_threshold_that_loses_links(none):
+    for run in (neardup.groups, neardup.deduplicated):
+        with pytest.raises(ValueError, match="below 75"):
+            run(none, threshold=50)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70), (None, 3), (90, 80), (80, 85)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
