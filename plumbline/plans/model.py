@@ -33,6 +33,7 @@ HASH_WIDTH = 1 << 12    # slots of a hashed one-hot column, whatever its number
 PARTS = 5               # parts of the training rows whose own labels stay out of their level statistics
 SMOOTHING = 4.0         # rows of the overall mean added to every level's statistic
 CONCURRENT_FITS = 3
+MAX_CLASSES = 10_000    # of a target: each is a literal of the plan and an entry of every probability vector
 ERRORS = ("rmse", "mae", "rmsle", "rmspe", "log_loss", "wmae")
 
 
@@ -105,12 +106,14 @@ class Fitted:
 
 
 def class_list(df: DataFrame, target: str, limit: int | None = None) -> list:
-    """All classes of the target, sorted. A model holds one entry for each, so ``limit`` refuses targets with more."""
+    """All classes of the target, sorted. A model holds one entry for each, so targets with more than ``limit``
+    (``MAX_CLASSES`` if not given) are refused; Spark counts them before any is collected."""
     y = F.col(f"`{target}`")
-    found = [r[0] for r in df.where(y.isNotNull()).select(y).distinct().collect()]
-    if limit is not None and len(found) > limit:
-        raise ValueError(f"target {target!r} has {len(found)} classes, more than {limit}")
-    return sorted(found)
+    found = df.where(y.isNotNull()).select(y).distinct()
+    n, limit = found.count(), MAX_CLASSES if limit is None else limit
+    if n > limit:
+        raise ValueError(f"target {target!r} has {n} classes, more than {limit}")
+    return sorted(r[0] for r in found.collect())
 
 
 def level_statistics(train: DataFrame, column: str, label: Column, n_stats: int) -> DataFrame:

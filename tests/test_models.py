@@ -28,6 +28,14 @@ def line(spark):
     return spark.range(240).select("id", (F.col("id") * 1.0).alias("x"), F.lit("k").alias("c"), (F.col("id") * 2.0 + noise(1)).alias("y")).cache()
 
 
+def test_targets_of_too_many_classes_are_refused_before_they_are_collected(spark, monkeypatch):
+    df = spark.range(L.MAX_CLASSES + 1).select("id", F.col("id").cast("string").alias("y"))
+    assert len(L.class_list(df.where("id > 0"), "y")) == L.MAX_CLASSES
+    monkeypatch.setattr(type(df), "collect", lambda self: pytest.fail("collected"))
+    with pytest.raises(ValueError, match="10001 classes"):
+        L.class_list(df, "y")
+
+
 def test_random_folds_lie_on_grouped_data(coin):
     args = dict(k=3, learner=L.forest(10, 8), exclude=["sensor"])
     naive = L.cross_validate(coin, "faulty", "id", **args)
