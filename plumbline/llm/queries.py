@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, licences, mainhtml, materialise, neardup, packing, quality, sharding, substrings, tokencount
+from plumbline.llm import decontaminate, licences, mainhtml, materialise, neardup, packing, periodic, quality, sharding, substrings, tokencount
 from plumbline.llm.common import table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,26 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
+
+
+def with_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of about every tenth document, the words from a place on repeat with a period. Both follow from its id; a null id changes nothing."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (1 + (n - a) // p))[:n - a]
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), edit=with_tail, digests=True)
+    best = F.when(F.size("runs") > 0, periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise("")), 256).alias("runs_sha256"),
+                        F.col("collapsed").alias("collapsed_sha256"))

@@ -78,4 +78,22 @@ e as (select a, b from l union select b, a from l),
 r as (select doc_id a, doc_id b from d union select r.a, e.b from r join e on r.b = e.a),
 m as (select a doc_id, min(b) component_id from r group by a)
 select d.doc_id, coalesce(n, 0)::bigint n_shingles, component_id, d.doc_id = component_id kept from d left join n using (doc_id) join m using (doc_id)""",
+    "op11_periodic_runs": rf"""
+with c as (select doc_id, coalesce(text, '') t, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) h from documents),
+s as (select doc_id, h, h // 10 g, {_words(_SPACE_WORD, "t")} w from c),
+a as (select *, len(w)::bigint n, case when len(w) > 0 then g % len(w) end a from s),
+p as (select *, 1 + (n - a) // (3 + g % 8) p from a),
+d as (select doc_id, n, case when h % 10 = 0 and n > 0 then w[1:a] || list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1]) else w end w from p),
+word as (select doc_id, n, i, w[i + 1] x from (select doc_id, n, w, unnest(range(0, n)) i from d)),
+same as (select a.doc_id, b.i - a.i q, a.i from word a join word b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i and b.i - a.i <= a.n // 4),
+island as (select doc_id, q, min(i) s, count(*) + q l from (select *, i - row_number() over (partition by doc_id, q order by i) k from same) group by doc_id, q, k),
+r as (select doc_id, s, l, min(q) q from island where l >= greatest(6, 4 * q) group by doc_id, s, l),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) i from r),
+lines as (select doc_id, count(*) n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) t from r group by doc_id),
+best as (select * from r qualify row_number() over (partition by doc_id order by l::hugeint * 1000000000000 // q desc, s, q) = 1),
+kept as (select doc_id, string_agg(x, ' ' order by i) t from word anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint n_runs, s::bigint "start", l::bigint length, q::bigint period, (1000 * l // q)::bigint exponent_milli,
+       sha256(coalesce(lines.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from d left join lines using (doc_id) left join best using (doc_id) left join kept using (doc_id)""",
 }
