@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, licences, mainhtml, materialise, neardup, packing, periodic, quality, sharding, substrings, tokencount
+from plumbline.llm import bytebpe, decontaminate, licences, mainhtml, materialise, neardup, packing, periodic, quality, sharding, substrings, tokencount
 from plumbline.llm.common import table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
                         F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise("")), 256).alias("runs_sha256"),
                         F.col("collapsed").alias("collapsed_sha256"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary_file("byte_bpe_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks)
+    decoded = bytebpe.decode(encoded.withColumn("doc_id", F.struct("doc_id", "n_inside", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))), ranks, with_text=False)
+    return decoded.select("doc_id.doc_id", "n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"), "doc_id.n_inside")

@@ -1,6 +1,6 @@
 """SQL counterparts of the queries that SQL can express.
 
-Packing, token counts and token output need a tokenizer; license labels beyond the base, main texts of pages and
+Packing, token counts, token output, encoding and decoding need a tokenizer; license labels beyond the base, main texts of pages and
 ring positions follow from code or hash functions that SQL does not have. Those are tested against plain versions.
 """
 
