@@ -110,21 +110,29 @@ def settled(df: DataFrame, compression: str = "zstd") -> DataFrame:
     Cuts the lineage: later reads see the same rows in the same files, also after executors are lost.
     The copies are removed when the driver's Python ends.
     """
+    return settled_at(df, compression)[0]
+
+
+def settled_at(df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """``settled`` with the folder, for ``remove`` when nothing reads the copy any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _remove_written() -> None:
     for ref, path in _written:
-        spark = ref()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(ref(), path)
         except Exception:  # noqa: BLE001 - the session is gone; its folder's owner cleans up
             return
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bytebpe, decontaminate, licences, mainhtml, materialise, neardup, packing, periodic, quality, sharding, substrings, tokencount
+from plumbline.llm import bytebpe, decontaminate, licences, mainhtml, materialise, neardup, packing, periodic, quality, sharding, substrings, tokencount, vectorcodes
 from plumbline.llm.common import table, vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks)
     decoded = bytebpe.decode(encoded.withColumn("doc_id", F.struct("doc_id", "n_inside", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))), ranks, with_text=False)
     return decoded.select("doc_id.doc_id", "n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"), "doc_id.n_inside")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    labels = found.rows.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of")
+    rows = found.rows.join(labels, F.col("label").eqNullSafe(F.col("of")))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vectorcodes.digest(found.codebooks)).alias("codebooks_sha256"))

@@ -33,6 +33,19 @@ def _rules() -> str:
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
+def _codes() -> str:
+    """k-means of four parts in four rounds: assignments a0 to a4, codebooks c0 to c4."""
+    steps = []
+    for r in range(5):
+        steps.append(f"""a{r} as materialized (select part, vec_id, pos, min(d * 256 + entry) % 256 entry, min(d * 256 + entry) // 256 d from (
+            select x.part, vec_id, pos, entry, (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::bigint d from x join c{r} using (part)) group by all)""")
+        if r < 4:
+            steps.append(f"""c{r + 1} as materialized (select part, entry, case when n is null then c else m end c from c{r} left join (
+                select part, entry, any_value(n) n, list(((s - ((s % n) + n) % n) // n)::double order by i) m from (
+                    select part, entry, i, sum(x[i])::bigint s, count(*) n from (select part, entry, x, unnest(range(1, len(x) + 1)) i from a{r} join x using (part, vec_id, pos)) group by all) group by part, entry) using (part, entry))""")
+    return ",\n".join(steps)
+
+
 ORACLE: dict[str, str] = {
     "op2_quality_rules": rf"""
 with d as (select doc_id, coalesce(text, '') t, {_words(_SPACE_WORD)} w,
@@ -96,4 +109,13 @@ kept as (select doc_id, string_agg(x, ' ' order by i) t from word anti join gone
 select d.doc_id, coalesce(n_runs, 0)::bigint n_runs, s::bigint "start", l::bigint length, q::bigint period, (1000 * l // q)::bigint exponent_milli,
        sha256(coalesce(lines.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
 from d left join lines using (doc_id) left join best using (doc_id) left join kept using (doc_id)""",
+    "op13_vector_codes": f"""
+with k as (select vec_id, label, row_number() over (order by vec_id) pos, list_transform(embedding, lambda v: floor(1024 * v::double)) v from embeddings
+           where len(embedding) > 0 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+x as materialized (select vec_id, pos, p part, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] x from k, range(4) t(p)),
+c0 as (select part, pos - 1 entry, x c from x where pos <= 256),
+{_codes()},
+e as (select vec_id, pos, sum(d)::bigint error, string_agg(printf('%02x', entry::bigint), '' order by part) code from a4 group by vec_id, pos),
+b as (select sha256(string_agg(array_to_string(list_transform(c, lambda v: v::bigint::varchar), ','), ',' order by part, entry)) h from c4)
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, h codebooks_sha256 from e join k using (vec_id, pos), b""",
 }
