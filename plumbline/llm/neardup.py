@@ -8,8 +8,9 @@ class; all that follows works on one document for each class.
 2. The sample of the union estimates the overlap of such a pair; pairs far below the threshold go.
 3. Full sets of the remaining pairs are rebuilt from the texts and their Jaccard similarity decides.
 4. Members of a list that are not in one component yet are compared with each other by the same estimate, within
-   size classes that a link cannot cross by more than one, and the pairs above it are verified as well. Long lists
-   are cut into blocks that meet pair by pair; blocks of one component do not meet each other.
+   size classes that a link cannot cross by more than one. Long lists are cut into blocks that meet pair by pair;
+   blocks of one component do not meet each other. Members with a candidate meet again with their full sets, and each
+   meeting leaves only the confirmed links that join its components: fewer rows than members, however many pairs.
 
 A pair over the threshold shares nearly all retained values, so it also meets in a list other than the most frequent
 ones of either document: each leaves its ``SHARED - 1`` longest lists. A passage or line that very many documents
@@ -20,7 +21,7 @@ so with a probability below 1e-8.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any, NamedTuple
 
@@ -29,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import CASE_FOLD, WordHashes, columns, gram_hashes, settled, texts
+from plumbline.llm.common import CASE_FOLD, WordHashes, columns, gram_hashes, settled, slices, texts
 from plumbline.llm.components import components
 
 WORDS = 5
@@ -102,6 +104,10 @@ def _links(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
 SMALL_LIST = 12
 #: Members up to which a list is one meeting; longer ones are cut into blocks of about so many.
 BLOCK = 1024
+#: Shingles that count as one member, so that the full sets of a block stay below about BLOCK * UNIT hashes (16 MB).
+UNIT = 2048
+#: Bytes of text whose sets are built at a time, unless one text is longer.
+SLICE_BYTES = 8 << 20
 
 
 def _common(sketches_of: list[np.ndarray], rows: int, start: int, block: int = 256, wide: int = 2048):
@@ -138,59 +144,97 @@ class Member(NamedTuple):
     rep: Any
     component: Any
     size: int
-    sketch: frozenset
+    sketch: np.ndarray      # ascending
     lists: frozenset
 
 
-def _sampled(x: Member, y: Member) -> bool:
-    """Whether the sample of the union allows the threshold."""
-    sample = sorted(x.sketch | y.sketch)[:K]
-    return len(x.sketch & y.sketch & set(sample)) * K >= len(sample) * SHARED
+def _sampled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the samples of the unions allow the threshold, for rows of sketches filled up with the largest number."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    filler = np.iinfo(np.int64).max
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != filler)
+    place = np.arange(1, both.shape[1] + 1) - np.cumsum(twice, axis=1)      # among the distinct values
+    union = (both != filler).sum(axis=1) - twice.sum(axis=1)
+    return (twice & (place <= K)).sum(axis=1) * K >= np.minimum(union, K) * SHARED
 
 
-def _meeting(left: list[Member], right: list[Member], v: int, among: bool) -> Iterator[list[tuple]]:
+def _candidates(left: list[Member], right: list[Member], v: int, among: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one list in different components that the sizes and the sample allow, each in the least list that both are in.
 
-    The left members meet the right ones, and each other if ``among``. Pairs come a block of rows at a time.
+    The left members meet the right ones, and each other if ``among``. Pairs are numbers of members, left ones first, and come a block of rows at a time.
     """
     members, start = left + right, 0 if among else len(left)
-    others = members[start:]
+    n = np.array([x.size for x in members])
+    table = np.full((len(members), K), np.iinfo(np.int64).max)
+    for i, x in enumerate(members):
+        table[i, :len(x.sketch)] = x.sketch
 
-    def allowed(pairs: Iterable[tuple[int, int]]) -> list[tuple]:
-        out = []
-        for i, j in pairs:
-            x, y = left[i], others[j]
-            if x.component != y.component and min(x.lists & y.lists) == v and _sampled(x, y):
-                out.append((min(x.rep, y.rep), max(x.rep, y.rep)))
-        return out
+    def allowed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = np.concatenate([np.empty(0, bool), *(_sampled(table[x[i:i + 8192]], table[y[i:i + 8192]]) for i in range(0, len(x), 8192))])
+        return x[good], y[good]
 
     if len(members) <= SMALL_LIST:
-        yield allowed((i, j) for i, x in enumerate(left) for j, y in enumerate(others) if (j > i or not among) and 4 * min(x.size, y.size) >= 3 * max(x.size, y.size))
+        pairs = [(i, j) for i, x in enumerate(left) for j, y in enumerate(members[start:], start)
+                 if (j > i or not among) and x.component != y.component and 4 * min(x.size, y.size) >= 3 * max(x.size, y.size) and min(x.lists & y.lists) == v]
+        if pairs:
+            yield allowed(*np.array(pairs).T)
         return
-    n = np.array([x.size for x in members])
     comp = np.unique([str(x.component) for x in members], return_inverse=True)[1]
     held = np.minimum(n, K)
-    sketches_of = [np.fromiter(x.sketch, np.int64, len(x.sketch)) for x in members]
     before = [np.array([u for u in x.lists if u < v], np.int64) for x in members]
-    for (i, counts), (_, earlier) in zip(_common(sketches_of, len(left), start), _common(before, len(left), start)):
+    for (i, counts), (_, earlier) in zip(_common([x.sketch for x in members], len(left), start), _common(before, len(left), start)):
         at = np.arange(i, i + len(counts))[:, None]
         meet = (comp[at] != comp[start:]) & (earlier == 0)
         if among:
-            meet &= np.arange(len(others)) > at
+            meet &= np.arange(len(members)) > at
         meet &= (4 * np.minimum(n[at], n[start:]) >= 3 * np.maximum(n[at], n[start:])) & (counts * K >= SHARED * np.minimum(K, np.maximum(held[at], held[start:])))
-        yield allowed((x + i, y) for x, y in np.argwhere(meet).tolist())
+        x, y = np.nonzero(meet)
+        yield allowed(x + i, y + start)
+
+
+def _forest(members: list[Member], sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], threshold: int) -> list[tuple[Any, Any]]:
+    """Links among the pairs, confirmed on full sets: as many as join the components that all links join, and no more."""
+    parent = {x.component: x.component for x in members}
+
+    def root(c: Any) -> Any:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    size = np.array([len(x) for x in sets])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    flag, links = np.zeros(int(number.max(initial=-1)) + 1, np.int64), []
+    for left, right in pairs:
+        for i in np.unique(left).tolist():
+            others = [j for j in right[left == i].tolist() if root(members[i].component) != root(members[j].component)]
+            if not others:
+                continue
+            own = number[ends[i]:ends[i + 1]]
+            flag[own] = 1
+            seen = flag[np.concatenate([number[ends[j]:ends[j + 1]] for j in others])]
+            common = np.add.reduceat(seen, np.concatenate([[0], np.cumsum(size[others])[:-1]]))
+            flag[own] = 0
+            for j in np.array(others)[100 * common >= threshold * (size[i] + size[others] - common)].tolist():
+                a, b = root(members[i].component), root(members[j].component)
+                if a != b:
+                    parent[a] = b
+                    links.append((min(members[i].rep, members[j].rep), max(members[i].rep, members[j].rep)))
+    return links
 
 
 def _meetings(listed: DataFrame) -> DataFrame:
     """The meetings (a, b) within v and size class that each member takes part in, on the left or not: v, size_class, rep, component, a, b, left.
 
-    ``listed``: v, size_class, own (false for members that are only met from the next smaller class), rep, component. A list of
-    up to ``BLOCK`` members is one meeting, with its own members on the left. A longer one is cut by the hash of rep into
-    blocks, those of a large component apart from the others, and every own block meets itself and the later ones
-    unless both are of one component.
+    ``listed``: v, size_class, own (false for members that are only met from the next smaller class), rep, component, and
+    n_shingles if a member with over ``UNIT`` of them is to count as several. A list of up to ``BLOCK`` members is one meeting, with its own
+    members on the left. A longer one is cut by the hash of rep into blocks, those of a large component apart from
+    the others, and every own block meets itself and the later ones unless both are of one component.
     """
     key, cell = ["v", "size_class"], ["v", "size_class", "own"]
-    sizes = settled(listed.groupBy(*cell, "component").agg(F.count("*").alias("n")))
+    units = F.ceil(F.col("n_shingles") / UNIT) if "n_shingles" in listed.columns else F.lit(1)
+    sizes = settled(listed.groupBy(*cell, "component").agg(F.sum(units).alias("n")))
     lists = settled(sizes.groupBy(*key).agg(F.sum("n").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("own").alias("own"))
                     .where((F.col("x") < F.col("y")) & F.col("own")).select(*key, "members"))
     short, long = (lists.where(c).select(*key) for c in (F.col("members") <= BLOCK, F.col("members") > BLOCK))
@@ -219,33 +263,72 @@ def _meetings(listed: DataFrame) -> DataFrame:
     return whole.union(placed.join(sides, [*key, "block"]).select(*key, "rep", "component", "a", "b", "left"))
 
 
-def _within(met: DataFrame, kind: str) -> DataFrame:
-    """Pairs of members of one meeting in different components that the sample allows.
+_KEY = ["v", "size_class", "a", "b"]
+_MEMBER = [*_KEY, "left", "rep", "component", "n_shingles", "sketch", "kept", "digest"]
 
-    ``met``: what ``_meetings`` gives, with n_shingles, sketch, and the lists of the member.
-    """
 
-    def compare(batches):
-        key, left, right, type_ = None, [], [], None
+def _by_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[Member], list[Member], list[tuple]]]:
+    """(key, left members, right members, their rows in the same order) of each meeting; rows come sorted by the key."""
+    key, left, right = None, [], []
+
+    def met():
+        if left and len(left) + len(right) > 1:
+            yield key, [m for m, _ in left], [m for m, _ in right], [r for _, r in left + right]
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:4] != key:
+                yield from met()
+                key, left, right = row[:4], [], []
+            _, rep, component, n, sketch, kept = row[4:10]
+            (left if row[4] else right).append((Member(rep, component, n, np.array(sketch, np.int64), frozenset(kept)), row))
+    yield from met()
+
+
+def _touched(met: DataFrame) -> DataFrame:
+    """The rows of ``met`` whose member has a candidate in its meeting: never more than there are."""
+    schema = met.select(*_MEMBER).schema
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches):
+        for key, left, right, rows in _by_meeting(batches):
+            found = np.unique(np.concatenate([np.empty(0, np.int64), *(np.concatenate(p) for p in _candidates(left, right, key[0], key[2] == key[3]))]))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[rows[i] for i in found]), types)], _MEMBER)
+
+    return met.select(*_MEMBER).repartition(*_KEY).sortWithinPartitions(*_KEY, "rep").mapInArrow(run, schema)
 
-        def pairs():
-            if left and len(left) + len(right) > 1:
-                for found in _meeting(left, right, key[0], key[2] == key[3]):
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], type_), pa.array([p[1] for p in found], type_)], ["a", "b"])
 
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, digest, shingles: the full set of every class among the members, rebuilt from its text."""
+    ids = settled(members.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+    def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            type_ = batch.schema.field("rep").type
-            for v, size_class, a, b, is_left, rep, component, n, sketch, kept in zip(*(c.to_pylist() for c in batch.columns)):
-                if (v, size_class, a, b) != key:
-                    yield from pairs()
-                    key, left, right = (v, size_class, a, b), [], []
-                (left if is_left else right).append(Member(rep, component, n, frozenset(sketch), frozenset(kept)))
-        yield from pairs()
+            for part in slices(batch, "text", SLICE_BYTES):
+                found = [shingles(t, hashes) for t in texts(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())],
+                                                 ["rep", "digest", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return wanted.mapInArrow(run, f"rep {kind}, digest binary, shingles binary").dropDuplicates(["rep", "digest"])
+
+
+def _confirmed(touched: DataFrame, docs: DataFrame, threshold: int, kind: str) -> DataFrame:
+    """Links (a, b) that join what all links among the candidates of the meetings join: fewer per meeting than it has members."""
+
+    rep_type = to_arrow_type(touched.schema["rep"].dataType)
+
+    def run(batches):
+        for key, left, right, rows in _by_meeting(batches):
+            found = _forest(left + right, [np.frombuffer(r[-1], np.uint64) for r in rows], _candidates(left, right, key[0], key[2] == key[3]), threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, rep_type) for c in zip(*found)], ["a", "b"])
 
-    key = ["v", "size_class", "a", "b"]
-    dealt = met.select(*key, "left", "rep", "component", "n_shingles", "sketch", "kept").repartition(*key)
-    return dealt.sortWithinPartitions(*key, "rep").mapInArrow(compare, f"a {kind}, b {kind}")
+    dealt = touched.join(_sets(docs, touched), ["rep", "digest"]).select(*_MEMBER, "shingles").repartition(*_KEY)
+    return dealt.sortWithinPartitions(*_KEY, "rep").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +346,7 @@ def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_co
     each = settled(sketches(source))
     classes = settled(each.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("digest")
                       .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    by_rep = classes.select("rep", "n_shingles", "sketch")
+    by_rep = classes.select("rep", "digest", "n_shingles", "sketch")
 
     postings = by_rep.select("rep", F.least(F.lit(SHARED), F.ceil(F.size("sketch") * threshold / 100)).cast("long").alias("need"), F.explode("sketch").alias("v"))
     values = postings.groupBy("v").agg(F.count("*").alias("members"), F.min("rep").alias("least"), F.max("rep").alias("most")).where(F.col("least") < F.col("most"))
@@ -289,12 +372,12 @@ def groups(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_co
     members = settled(placed.join(mixed_lists, "v"))
     kept = members.groupBy("rep").agg(F.collect_set("v").alias("kept"))
     # in a class meet its own members and those of the next larger one
-    listed = members.join(by_rep.select("rep", size_class.alias("size_class")), "rep").select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    listed = members.join(by_rep.select("rep", "n_shingles", size_class.alias("size_class")), "rep").select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
     listed = settled(listed.withColumn("size_class", F.when(F.col("own"), F.col("size_class")).otherwise(F.col("size_class") - 1)))
-    met = _meetings(listed).join(kept, "rep").join(by_rep, "rep")
-    more = settled(_within(met, kind).distinct().join(pairs, ["a", "b"], "left_anti"))
+    touched = settled(_touched(_meetings(listed).join(kept, "rep").join(by_rep, "rep")))
+    more = settled(_confirmed(touched, source, threshold, kind).distinct())
     if not more.isEmpty():
-        joined = components(links.union(_links(more, source, threshold)))
+        joined = components(links.union(more))
 
     # a component's smallest document is the smallest of its classes' smallest
     of_class = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
