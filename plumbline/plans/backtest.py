@@ -33,7 +33,7 @@ def split_design(df: DataFrame, target: str, time: str, key: str, *, n_origins:
     for i in sorted(masks.sides):
         scores = []
         for role in ("naive_train", "embargo_train"):
-            fitted = fit(masks.part(i, role), target, learner or forest(), exclude=[key], classes=classes)
+            fitted = fit(masks.part(i, role), target, learner or forest(), key=key, classes=classes)
             pred = fitted.predict(masks.part(i, "test"), [key, F.col(f"`{target}`").alias("label")])
             scores.append(float(score_frame(pred, metric, classes).first().score))
         rows.append((i, *scores, True))

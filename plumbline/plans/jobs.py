@@ -111,7 +111,7 @@ def run_cv(df: DataFrame, target: str, key: str, plans: Plans | None = None, *,
     transform = climb.log_target() if plans.try_log_target else None
     cv = climb.current
     final = add_features(full, [], target, key, kept)[0] if kept else full
-    fitted = fit(final, target, learner or forest(), exclude=[key], classes=cv.classes, transform=transform)
+    fitted = fit(final, target, learner or forest(), key=key, classes=cv.classes, transform=transform)
     run = Run(cv, folds, climb.records(), fitted, log, (before, widths[1], len(final.columns)), trials_spent=climb.spent)
     if test is not None:
         run.shift_auc = adversarial_auc(df, _replay(test, steps[:1] if plans.ordinals else []), target, key, cleaning=cleaning)
@@ -149,7 +149,7 @@ def run_holdout(df: DataFrame, target: str, key: str, plans: Plans | None = None
             step = fitter(train, _sparing(plan, key), target)
             train, held = step.transform(train), step.transform(held)
     classes = class_list(df, target) if looks_like_classes(df, target) else None
-    fitted = fit(train, target, learner or forest(), exclude=[key], classes=classes)
+    fitted = fit(train, target, learner or forest(), key=key, classes=classes)
     used = metric or default_metric(classes)
     pred = fitted.predict(held, [key, F.col(f"`{target}`").alias("label")])
     return score_frame(pred, used, classes).select(F.lit(used).alias("metric"), "score", F.lit(len(fitted.features)).alias("n_features"))

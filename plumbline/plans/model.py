@@ -25,6 +25,7 @@ from plumbline.operators.encode import TargetTransform
 from plumbline.operators.features import fit_features
 from plumbline.operators.folds import fold_masks
 from plumbline.operators.metrics import roc_auc, score_table
+from plumbline.operators.ordering import global_rank
 from plumbline.operators.profile import looks_like_classes
 from plumbline.operators.userfeatures import UserFeature, add_features
 from plumbline.session import stable
@@ -117,9 +118,9 @@ def class_list(df: DataFrame, target: str, limit: int | None = None) -> list:
 
 
 def level_statistics(train: DataFrame, column: str, label: Column, n_stats: int) -> DataFrame:
-    """``(level, part, n, s0..)``: label sums of every level and part; part -1 holds all rows of the level."""
+    """``(level, part, n, s0..)`` of rows with a ``_part``: label sums of every level outside the part; part -1 holds all rows of the level."""
     hits = [label] if n_stats == 1 else [(label == i).cast("double") for i in range(n_stats)]
-    rows = train.select(F.coalesce(F.col(f"`{column}`"), F.lit("<missing>")).alias("level"), _part(train).alias("part"), *[h.alias(f"s{i}") for i, h in enumerate(hits)])
+    rows = train.select(F.coalesce(F.col(f"`{column}`"), F.lit("<missing>")).alias("level"), F.col("_part").alias("part"), *[h.alias(f"s{i}") for i, h in enumerate(hits)])
     names = [f"s{i}" for i in range(n_stats)]
     parts = rows.groupBy("level", "part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names])
     whole = parts.groupBy("level").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
@@ -128,17 +129,23 @@ def level_statistics(train: DataFrame, column: str, label: Column, n_stats: int)
     return whole.select("level", F.lit(-1).alias("part"), "n", *names).union(rest.select("level", "part", "n", *names))
 
 
-def _part(df: DataFrame) -> Column:
-    """A part drawn from the whole row, so that copies of a row never explain each other."""
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")]), F.lit(PARTS)).cast("int")
+def _parted(train: DataFrame, key: str | None) -> DataFrame:
+    """The rows with a ``_part`` that says nothing about their label: drawn from the key, or else from the place in the order
+    of all row hashes. Equal rows stand together there, so copies spread evenly over the parts; which copy gets which part changes nothing."""
+    if key is not None:
+        return train.withColumn("_part", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(PARTS)).cast("int"))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in train.dtypes if not t.startswith("map")])
+    ranked = global_rank(train.withColumns({"_row": whole, "_copy": F.monotonically_increasing_id()}), ["_row", "_copy"], name="_place")
+    return ranked.withColumn("_part", (F.col("_place") % PARTS).cast("int")).drop("_row", "_copy", "_place")
 
 
 def fit(train: DataFrame, target: str, learner: Learner, *, exclude: Sequence[str] = (), classes: Sequence | None = None,
-        weight: str | None = None, transform: TargetTransform | None = None) -> Fitted:
+        weight: str | None = None, transform: TargetTransform | None = None, key: str | None = None) -> Fitted:
     """Fit on every row of ``train``. ``classes`` given means classification; nulls get the training mean or a level of
     their own. Text of any number of levels is encoded in one way: by a hashed one-hot block for linear learners, by the
-    label statistics of its level for the others, where a training row's own part of the rows stays out of its statistic."""
-    names = [c for c in train.columns if c not in {target, weight, *exclude}]
+    label statistics of its level for the others, where a training row's own part of the rows stays out of its statistic.
+    A unique ``key`` draws the parts without moving rows; it is no feature."""
+    names = [c for c in train.columns if c not in {target, weight, key, *exclude}]
     require_features(train.select(target, *names), target)
     train = train.where(F.col(f"`{target}`").isNotNull())
     numbers = [c for c in names if is_number(col_type(train, c)) or isinstance(col_type(train, c), T.BooleanType)]
@@ -159,7 +166,9 @@ def fit(train: DataFrame, target: str, learner: Learner, *, exclude: Sequence[st
     n_stats = 1 if classes is None or len(classes) <= 2 else len(classes)
     # linear learners see levels as a hashed one-hot block of fixed width; trees see what the label does within a level
     levels = {}
-    if not learner.one_hot:
+    encoded = bool(texts) and not learner.one_hot
+    if encoded:
+        train = _parted(train, key)
         for c in texts:
             table = level_statistics(train, c, label, n_stats)
             overall = train.agg(*[F.avg(label if n_stats == 1 else (label == i).cast("double")) for i in range(n_stats)]).first()
@@ -167,7 +176,7 @@ def fit(train: DataFrame, target: str, learner: Learner, *, exclude: Sequence[st
 
     def prepare(df: DataFrame, training: bool = False) -> DataFrame:
         made = {f"_x_{i}": F.coalesce(as_number(df, c), F.lit(m)) for i, (c, m) in enumerate(means.items())}
-        out = df.withColumns({**made, "_part": _part(df) if training else F.lit(-1)})
+        out = df.withColumns(made if training and encoded else {**made, "_part": F.lit(-1)})
         for i, c in enumerate(texts):
             level = F.coalesce(F.col(f"`{c}`"), F.lit("<missing>"))
             if learner.one_hot:
@@ -213,7 +222,7 @@ def train_and_evaluate(train: DataFrame, held: DataFrame, target: str, key: str,
                        metric: str | None = None, weight: str | None = None) -> tuple[Fitted, float]:
     """Fit on train, score on the held-out rows."""
     classes = class_list(train.unionByName(held), target) if looks_like_classes(train, target) else None
-    fitted = fit(train, target, learner or forest(), exclude=[key], classes=classes, weight=weight)
+    fitted = fit(train, target, learner or forest(), key=key, classes=classes, weight=weight)
     pred = fitted.predict(held, [key, F.col(f"`{target}`").alias("label"), *([F.col(f"`{weight}`")] if weight else [])])
     return fitted, score_frame(pred, metric or default_metric(classes), classes, weight=weight).first().score
 
@@ -271,7 +280,7 @@ def cross_validate(df: DataFrame, target: str, key: str, *, k: int = 3, seed: in
                 train, held = step.transform(train), step.transform(held)
         if user_features:
             train, held = add_features(train, [held], target, key, user_features)
-        fitted = fit(train, target, learner or forest(), exclude=[key, *exclude], classes=classes, weight=weight, transform=transform)
+        fitted = fit(train, target, learner or forest(), key=key, exclude=exclude, classes=classes, weight=weight, transform=transform)
         keep = [F.col(f"`{key}`"), F.lit(i).cast("bigint").alias("fold"), F.col(f"`{target}`").alias("label")]
         return fitted.predict(held, keep + ([F.col(f"`{weight}`")] if weight else []))
 
@@ -332,7 +341,7 @@ def adversarial_auc(train: DataFrame, test: DataFrame, target: str, key: str, *,
     if both is None or len(shared_features(train, test, target, [*exclude, key])) == 0:
         return None
     held = keyed_hash(seed, key, "is_test") % 3 == 0
-    fitted = fit(both.where(~held), "is_test", learner or tree(), exclude=[key], classes=[0, 1])
+    fitted = fit(both.where(~held), "is_test", learner or tree(), key=key, classes=[0, 1])
     pred = fitted.predict(both.where(held), [F.col("is_test").alias("label")])
     return score_frame(pred, "roc_auc", [0, 1]).first().score
 

@@ -184,3 +184,11 @@ def test_metrics_of_classes_in_cross_validation(spark):
     assert L.cross_validate(df, "y", "id", k=3, learner=L.tree(), metric="roc_auc").mean > 0.99
     two = df.withColumn("y", F.col("y") % 2)
     assert L.cross_validate(two, "y", "id", k=3, learner=L.tree(), metric="f1").mean > 0.99
+
+
+def test_level_statistics_without_a_unique_column(spark):
+    """Copies of a row share all parts, so a level keeps what it says about the label."""
+    df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("g"), ((F.col("id") % 2) == F.when(keyed_hash("noise", "id") % 10 == 0, 1).otherwise(0)).cast("int").alias("y"))
+    fitted = L.fit(df, "y", L.tree(), classes=[0, 1])
+    hits = fitted.predict(df, [F.col("y").alias("label")]).agg(F.avg((F.col("label") == F.col("pred")).cast("double"))).first()[0]
+    assert hits > 0.85
