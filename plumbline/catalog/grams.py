@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import query, sql_hash, table
 from plumbline.functions.columns import keyed_hash
+from plumbline.operators.permute import LEAST_STEP, STEPS, permuted, ranked
 from plumbline.plans import bayes as N
 from plumbline.plans import gram as M
+from plumbline.plans.drivers import permutation_drivers
 
 _X = ["rank", "customer", "month"]
 
@@ -150,3 +152,35 @@ def _oof_counts(spark, d):
 @query("cv_bayes", bayes_sql(_LEVELS, 5, 7) + " select fold, count(*) as n_validate, avg((label = pred)::int) as score from p group by fold")
 def _cv_counts(spark, d):
     return N.cv_bayes(events_of_users(spark, d), "event_type", "event_id", _LEVELS, k=5, seed=7)
+
+
+# ---- permutations --------------------------------------------------------------------------
+
+def map_sql(seed: int | str, name: str) -> str:
+    """(n, a, b) of the rank map, with ``n`` from the relation ``ranked``."""
+    a, b = (sql_hash(seed, f"'{name}'", f"'{x}'") for x in "ab")
+    return f"""(select n, {b} % n as b, (select min(v) from range({LEAST_STEP} + {a} % {STEPS}, {LEAST_STEP} + {a} % {STEPS} + 1000) t(v) where gcd(v, n) = 1) as a from (select count(*) as n from ranked))"""
+
+
+@query("permuted_labels", f"""with ranked as (select o_orderkey, o_orderstatus, row_number() over (order by {sql_hash(0, "o_orderkey")}, o_orderkey) - 1 as r from orders)
+    select x.o_orderkey, y.o_orderstatus from ranked x, {map_sql("0/3", "o_orderstatus")} m join ranked y on y.r = (x.r * m.a + m.b) % m.n""")
+def _permuted(spark, d):
+    rows, n = ranked(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    return permuted(rows, n, "o_orderstatus", "0/3").drop("_rank")
+
+
+def _moved_sql(column: str) -> str:
+    values = ", ".join(f"{'s' if c == column else 't'}.{c}" for c in _X)
+    return f"select '{column}' as v, t.y, {values} from ranked s, {map_sql(5, column)} m join ranked t on t.r = (s.r * m.a + m.b) % m.n"
+
+
+@query("permutation_drivers", f"""with {_BASE}, s as (select *, 0 as cell from base), tr as (select 0 as fold, 0 as cell), {fit_sql("f", "s", "tr", _X)},
+    ranked as (select *, row_number() over (order by {sql_hash(5, "o_orderkey")}, o_orderkey) - 1 as r from base),
+    p as (select v, y - ({pred_sql("f", _X)}) as e from (select '' as v, y, {", ".join(_X)} from ranked union all {" union all ".join(_moved_sql(c) for c in _X)}), f),
+    g as (select v, -sqrt(avg(e * e)) as score from p group by v)
+    select x.v as "column", round(b.score, 6) as base, round(x.score, 6) as permuted, round(b.score - x.score, 6) as importance from g x, g b where x.v <> '' and b.v = ''""")
+def _permutation_drivers(spark, d):
+    o = amounts(spark, d)
+    columns, fit = M.fit_gram(o, "amount", _X)
+    out = permutation_drivers(o, "amount", "o_orderkey", _X, lambda rows: rows.withColumn("pred", M.linear_value(columns, fit)), "rmse", seed=5)
+    return out.withColumns({c: F.round(c, 6) for c in ("base", "permuted", "importance")})

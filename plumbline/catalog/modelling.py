@@ -148,12 +148,12 @@ def _null(spark, d):
     # users join in the order of their id, so the id itself gives the boundary away
     e = table(spark, d, "events")
     return B.series_null(e.withColumn("user_id", F.floor(F.col("event_id") / 100)).select("event_id", "ts", "user_id", "value", "event_type"),
-                         "value", "ts", "event_id", "user_id", n_perm=5, exclude=["ts"])
+                         "value", "ts", "event_id", "user_id", exclude=["ts"])
 
 
 @query("backtest_audit")
 def _backtest(spark, d):
-    return B.audit_backtest(series_events(spark, d), "demand", "ts", "event_id", suspects=["closed_total"], series="user_id", n_perm=3, learner=L.tree())
+    return B.audit_backtest(series_events(spark, d), "demand", "ts", "event_id", suspects=["closed_total"], series="user_id", learner=L.tree())
 
 
 # ---- gates and runs ------------------------------------------------------------------------

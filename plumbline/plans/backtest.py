@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import decide as D
 from plumbline.operators.encode import check_framing
-from plumbline.operators.folds import boundary_split, origin_masks, permute_labels, rank_keys
+from plumbline.operators.folds import boundary_split, origin_masks
+from plumbline.operators.permute import permuted, ranked
 from plumbline.operators.profile import correlations, looks_like_classes
-from plumbline.plans.model import Learner, adversarial_auc, class_list, default_metric, fit, forest, score_frame, tree
-from plumbline.session import stable
+from plumbline.plans.model import CONCURRENT_FITS, Learner, adversarial_auc, class_list, default_metric, fit, forest, score_frame, tree
 
 
 def future_features(df: DataFrame, target: str, suspects: Sequence[str]) -> DataFrame:
@@ -58,22 +59,25 @@ def series_boundary(df: DataFrame, target: str, time: str, key: str, series: str
 
 def series_null(df: DataFrame, target: str, time: str, key: str, series: str, *, n_perm: int = 20, test_frac: float = 0.2,
                 learner: Learner | None = None, seed: int = 0, exclude: Sequence[str] = ()) -> DataFrame | None:
-    """One row: AUC with the true series labels against a band of permuted labels."""
+    """One row: AUC with the true series labels against a band of permuted labels.
+
+    The rows are ranked and written once; each permutation maps the ranks and is one hash join.
+    """
     marked = boundary_split(df, time, key, test_frac)
     if marked is None:
         return None
-    marked = stable(marked)
-    before, after = _sides(marked)
+    rows, n = ranked(marked, key, seed)
+    before, after = _sides(rows.drop("_rank"))
     observed = adversarial_auc(before, after, target, key, learner=learner or tree(), exclude=exclude)
     if observed is None:
         return None
-    ranked, null = rank_keys(marked, key), []
-    for i in range(n_perm):
-        labels = permute_labels(marked, key, series, seed=f"{seed}/{i}", ranked=ranked)
-        b, a = _sides(marked.drop(series).join(labels, key))
-        auc = adversarial_auc(b, a, target, key, learner=learner or tree(), exclude=exclude)
-        if auc is not None:
-            null.append((auc,))
+
+    def one(i: int) -> float | None:
+        b, a = _sides(permuted(rows, n, series, f"{seed}/{i}").drop("_rank"))
+        return adversarial_auc(b, a, target, key, learner=learner or tree(), exclude=exclude)
+
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        null = [(auc,) for auc in pool.map(one, range(n_perm)) if auc is not None]
     if not null:
         return None
     spark = df.sparkSession

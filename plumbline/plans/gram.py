@@ -178,6 +178,21 @@ def solve(m: Moments, used: Sequence[int], reg: float = 0.0) -> list[LinearFold]
     return out
 
 
+def linear_value(columns: Mapping[str, tuple[str, Column]], fit: LinearFold) -> Column:
+    """The prediction of one fit; gaps lie on the training mean."""
+    x, value = list(columns.values()), F.lit(fit.intercept)
+    for i, mean, b in zip(fit.used, fit.means.tolist(), fit.coefficients.tolist()):
+        value = value + (F.coalesce(x[i][1], F.lit(mean)) - mean) * b
+    return value
+
+
+def fit_gram(df: DataFrame, target: str, columns: Sequence[str], reg: float = 0.0) -> tuple[dict[str, tuple[str, Column]], LinearFold]:
+    """The design and the fit on all rows with a target."""
+    x, one = design(df, columns), frozenset([0])
+    m = moments(Cells(df.withColumn("_cell_0", F.lit(0)), {0: [(one, one)]}), x, F.col(f"`{target}`"))
+    return x, solve(m, m.subset(columns), reg)[0]
+
+
 @dataclass
 class GramCV:
     """A linear cross-validation; ``frame`` has a row per seed and fold, ``oof`` predicts in a second, narrow scan."""
@@ -196,14 +211,10 @@ class GramCV:
     def oof(self, keep: Sequence[str], seed: int | None = None) -> DataFrame:
         """``keep``, fold, label and the prediction of the fold that validates the row: an expression over literals."""
         seed = next(iter(self.cells.folds)) if seed is None else seed
-        x = list(self.columns.values())
         fold, pred = F.lit(None).cast("bigint"), F.lit(None).cast("double")
         for f in (f for f in self.fits if f.seed == seed):
             here = F.col(f"_cell_{seed}").isin(*self.cells.folds[seed][f.fold][1])
-            value: Column = F.lit(f.intercept)
-            for i, mean, b in zip(f.used, f.means.tolist(), f.coefficients.tolist()):
-                value = value + (F.coalesce(x[i][1], F.lit(mean)) - mean) * b
-            fold, pred = F.when(here, F.lit(f.fold)).otherwise(fold), F.when(here, value).otherwise(pred)
+            fold, pred = F.when(here, F.lit(f.fold)).otherwise(fold), F.when(here, linear_value(self.columns, f)).otherwise(pred)
         rows = self.cells.table.where(self.target.isNotNull())
         return rows.select(*keep, fold.alias("fold"), self.target.alias("label"), pred.alias("pred")).where("fold is not null")
 
