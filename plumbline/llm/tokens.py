@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 
 import numpy as np
 
@@ -48,9 +49,25 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=spec["ids"], special_tokens=spec["special"])
 
 
+#: White space characters from which on a stretch is encoded without the split pattern, whose look-ahead would go back over it.
+LONG_SPACE = 100_000
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)   # fixed values: Unicode's white space
+
+
 def ids_of(text: str, path: str) -> np.ndarray:
     """All ids of a whole text as unsigned 32-bit numbers."""
-    return encoder(path).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    library = encoder(path)
+    if len(text) < LONG_SPACE:
+        return library.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    parts, at = [], 0
+    for found in _SPACE.finditer(text):
+        # all of it is one match, but for the last character where a text goes on that is no special string
+        start, end = found.span()
+        end -= end < len(text) and not any(text.startswith(x, end) for x in library.special_tokens_set)
+        parts += [library.encode_to_numpy(text[at:start], allowed_special="all", disallowed_special=()), np.array(library._encode_single_piece(text[start:end]), np.uint32)]
+        at = end
+    parts.append(library.encode_to_numpy(text[at:], allowed_special="all", disallowed_special=()))
+    return np.concatenate(parts)
 
 
 def ranks_file(path: str) -> dict[bytes, int]:
