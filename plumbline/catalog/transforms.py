@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.catalog.profiling import GAPS, orders_with_gaps
@@ -262,6 +263,21 @@ def _user_te(spark, d):
     return out.select("o_orderkey", F.round("gen_priority_price", 4).alias("gen_priority_price"))
 
 
+def _distance(batch, mean):
+    return np.hypot(batch["o_custkey"] - mean, np.where(batch["o_orderstatus"] == "F", 3.0, 4.0))
+
+
+_PYTHON = U.python_feature("distance", ["o_custkey", "o_orderstatus"], lambda t: t.agg(F.avg("o_custkey")).first()[0], _distance)
+
+
+@query("user_feature_python", f"""with {_OSPLIT}, m as (select avg(o_custkey) as m from train)
+    select o_orderkey, o_totalprice, round(sqrt((o_custkey - m) ** 2 + case when o_orderstatus = 'F' then 9 else 16 end), 6) as gen_distance, o_custkey * 2.0::double as gen_twice from parts, m where not is_train""")
+def _user_python(spark, d):
+    train, held = _whole_orders(spark, d)
+    _, out = U.add_features(train, [held], "o_totalprice", "o_orderkey", [_PYTHON, _DOUBLE])
+    return out.select("o_orderkey", "o_totalprice", F.round("gen_distance", 6).alias("gen_distance"), "gen_twice")
+
+
 _DOUBLE = U.UserFeature("twice", lambda t: None, lambda df, p: F.col("o_custkey") * 2.0)
 _TEXTY = U.UserFeature("texty", lambda t: None, lambda df, p: F.upper("o_orderstatus"))
 _EMPTY = U.UserFeature("empty", lambda t: None, lambda df, p: F.when(F.col("o_custkey") < 0, F.lit(1.0)))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,9 @@ TOLERANCE = 1e-6    # fixed value
 class UserFeature:
     """``fit(train) -> params`` and ``transform(df, params) -> Column or DataFrame``.
 
-    A Column result becomes ``gen_<name>``; a DataFrame result must carry that column (use it for a
-    join against fitted params too large for a literal). A ``pandas_udf`` Column is fine.
+    A Column result becomes ``gen_<name>``; a DataFrame result must be the rows it was given with all their columns
+    and that one (use it for a join against fitted params too large for a literal). ``python_feature`` makes one from a
+    function over pandas batches.
     """
 
     name: str
@@ -41,25 +44,67 @@ class UserFeature:
         return plain.withColumn(self.column, made) if isinstance(made, Column) else made
 
 
+def _with_feature(table: DataFrame, feature: UserFeature, params: Any, seen: Sequence[str]) -> DataFrame:
+    """``table`` plus the feature; of its columns the feature sees ``seen`` only. No row is joined to itself, so none multiplies."""
+    made = feature.transform(table.select(*[F.col(f"`{c}`") for c in seen]), params)
+    if isinstance(made, Column):
+        _ = table.select(*[F.col(f"`{c}`") for c in seen]).select(made).schema      # refuses other columns before they are in reach
+        return table.withColumn(feature.column, made)
+    hidden = {c: f"_hidden_{i}" for i, c in enumerate(table.columns) if c not in seen}
+    made = feature.transform(table.withColumnsRenamed(hidden), params)
+    missing = {*seen, *hidden.values(), feature.column} - set(made.columns)
+    if missing:
+        raise ValueError(f"the result lacks {sorted(missing)}")
+    return made.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in table.columns if c != feature.column], F.col(f"`{feature.column}`"))
+
+
 def add_features(train: DataFrame, others: Sequence[DataFrame], target: str, key: str,
                  features: Sequence[UserFeature]) -> tuple[DataFrame, ...]:
-    """Add every feature to train and the other tables; each is fitted on the original train.
+    """Add every feature to train and the other tables; each is fitted on the original train and sees neither the target nor
+    the other features. Rows keep their number, whatever their keys.
 
     A feature that fails is left out with a warning, never silently.
     """
-    tables = [train, *others]
-    outs = list(tables)
+    outs = [train, *others]
+    seen = [[c for c in t.columns if c != target] for t in outs]
     for f in features:
         try:
             params = f.fit(train)
-            made = [f.apply(t, params, target).select(F.col(f"`{key}`"), F.col(f"`{f.column}`")) for t in tables]
+            outs = [_with_feature(o, f, params, s) for o, s in zip(outs, seen)]
         except (PySparkException, ArithmeticError, LookupError, TypeError, ValueError) as problem:
             warnings.warn(f"feature {f.name!r} left out: {problem}", stacklevel=2)
-            continue
-        outs = [o.join(m, key) for o, m in zip(outs, made)]
     return tuple(outs)
 
 
+def python_feature(name: str, inputs: Sequence[str], fit: Callable[[DataFrame], Any], transform: Callable[[pd.DataFrame, Any], Any], *,
+                   verify: bool = True, idea: str = "") -> UserFeature:
+    """A feature from a function over pandas batches of the input columns: one number per row; NaN and None become null.
+
+    ``fit`` sees the training rows as a Spark table and returns what can be pickled. Spark deals out Arrow batches of its own
+    choice, so a value must follow from its row alone: with ``verify``, every batch is computed again in two
+    halves, and a difference ends the job with a message.
+    """
+    def made(df: DataFrame, params: Any) -> Column:
+        def numbers(batch: pd.DataFrame) -> np.ndarray:
+            out = np.asarray(transform(batch.reset_index(drop=True), params), dtype=float)
+            if out.shape != (len(batch),):
+                raise ValueError(f"feature {name!r} gave {out.shape} for {len(batch)} rows")
+            return out
+
+        def value(batch: pd.DataFrame) -> pd.Series:
+            whole = numbers(batch)
+            if verify and len(batch) > 1:
+                half = len(batch) // 2
+                pieces = np.concatenate([numbers(batch.iloc[:half]), numbers(batch.iloc[half:])])
+                if not np.allclose(pieces, whole, rtol=0.0, atol=TOLERANCE, equal_nan=True):
+                    raise ValueError(f"feature {name!r} depends on the other rows of its batch")
+            return pd.Series(whole)
+
+        return F.pandas_udf(value, "double")(F.struct(*[F.col(f"`{c}`") for c in inputs]))
+
+    return UserFeature(name, fit, made, idea)
+
+
 def check_output(made: DataFrame, column: str, n_rows: int) -> str:
     """Empty text when the feature is usable, else what is wrong with it."""
     if column not in made.columns or not is_correlatable(col_type(made, column)):

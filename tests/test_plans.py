@@ -146,3 +146,27 @@ def test_text_features(spark):
     out = df.select(X.keyword_group(F.col("t"), ["good"]).alias("g"), X.number_after(F.col("t"), "days").alias("d"), X.truncate(F.col("t"), 4, "~").alias("c"), *[c.alias(n) for n, c in s.items()]).collect()
     assert (out[0].g, out[0].d, out[0].c, out[0].time_mentions) == (2, 3.0, "GOOD~", 1)
     assert out[1].g == 0 and out[1].upper_ratio is None and out[2].g is None
+
+
+def test_user_features_keep_rows_with_repeated_and_missing_keys(spark):
+    train = spark.createDataFrame([(1, 1.0, "u", 0), (1, 2.0, "v", 1), (None, 3.0, "u", 0)], "id int, a double, g string, y int")
+    twice = U.UserFeature("twice", lambda t: 2.0, lambda df, p: F.col("a") * p)
+    root = U.python_feature("root", ["a", "g"], lambda t: t.count(), lambda b, n: [n * x ** 0.5 if g == "u" else None for x, g in zip(b["a"], b["g"])])
+    made, other = U.add_features(train, [train.drop("y")], "y", "id", [twice, U.target_encoding("g", "g", "y"), root])
+    assert made.columns == ["id", "a", "g", "y", "gen_twice", "gen_g", "gen_root"] and other.columns == ["id", "a", "g", "gen_twice", "gen_g", "gen_root"]
+    rows = {r.a: r for r in made.collect()}
+    assert made.count() == 3 and (rows[2.0].y, rows[2.0].gen_twice, rows[2.0].gen_root) == (1, 4.0, None) and rows[1.0].gen_root == 3.0
+    lossy = U.UserFeature("lossy", lambda t: None, lambda df, p: df.select("id", F.lit(1.0).alias("gen_lossy")))
+    later = U.UserFeature("later", lambda t: None, lambda df, p: F.col("gen_twice") + 1)
+    with pytest.warns(UserWarning) as said:
+        assert U.add_features(train, [], "y", "id", [twice, lossy, later])[0].columns == ["id", "a", "g", "y", "gen_twice"]
+    assert [str(w.message).split()[1] for w in said] == ["'lossy'", "'later'"]
+
+
+def test_python_features_follow_from_their_row_alone(spark):
+    df = spark.range(40).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 2).alias("y"))
+    share = U.python_feature("share", ["a"], lambda t: None, lambda b, p: b["a"] - b["a"].mean())
+    with pytest.raises(Exception, match="other rows of its batch"):
+        U.add_features(df, [], "y", "id", [share])[0].collect()
+    assert U.dry_run(share, df, "y", "id") != ""
+    assert U.dry_run(U.python_feature("half", ["a"], lambda t: 2.0, lambda b, p: b["a"] / p), df, "y", "id") == ""
