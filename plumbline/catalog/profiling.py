@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import query, sql_hash, table
 from plumbline.operators import profile as P
+from plumbline.operators.ordering import group_quantiles
 from plumbline.operators.verify import check_folds, shift_band
 from plumbline.plans import audit as A
 from plumbline.sources import load as L
@@ -421,3 +422,18 @@ def _band(spark, d):
     off = 0.5 + 10 * F.abs(F.avg("l_discount") - 0.05) + 5 * F.abs(F.avg("l_tax") - 0.04)
     s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source")).agg(F.round(off, 4).alias("auc"))
     return s.withColumn("band", shift_band(F.col("auc")))
+
+
+# ---- quantiles of many groups --------------------------------------------------------------
+
+@query("group_quantiles", """select 'order' as kind, l_orderkey as g, count(*) as n, round(quantile_cont(l_extendedprice, 0.25), 6) as q25, round(quantile_cont(l_extendedprice, 0.5), 6) as q50,
+        round(quantile_cont(l_extendedprice, 0.9), 6) as q90 from lineitem where l_extendedprice is not null group by all
+    union all select 'flag', case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end, count(*), round(quantile_cont(l_extendedprice, 0.25), 6), round(quantile_cont(l_extendedprice, 0.5), 6),
+        round(quantile_cont(l_extendedprice, 0.9), 6) from lineitem where l_extendedprice is not null group by all""")
+def _group_quantiles(spark, d):
+    # an order has a few lines, a flag a large share of all
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).cast("bigint")
+    both = table(spark, d, "lineitem").select(F.inline(F.array(F.struct(F.lit("order").alias("kind"), F.col("l_orderkey").alias("g"), F.col("l_extendedprice").alias("v")),
+                                                               F.struct(F.lit("flag").alias("kind"), flag.alias("g"), F.col("l_extendedprice").alias("v")))))
+    out = group_quantiles(both.select(F.struct("kind", "g").alias("g"), "v"), [0.25, 0.5, 0.9])
+    return out.select("g.kind", F.col("g.g").alias("g"), "n", *[F.round(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(["q25", "q50", "q90"])])

@@ -8,6 +8,7 @@ Two tools cover every place where a single machine would index rows by position:
 * ``global_rank`` numbers every row. Rows are range-partitioned on the full sort key (a unique key
   last), so equal leading values still spread over many tasks, and each partition's offset comes
   from a table with one row per partition.
+* ``group_quantiles`` gives exact quantiles of any number of groups; brackets and ranks stay tables.
 """
 
 from __future__ import annotations
@@ -108,6 +109,53 @@ def exact_quantiles(values: DataFrame, fractions: Sequence[float]) -> dict:
     return out
 
 
+SKETCH = 10_000         # accuracy of the sketches that bracket quantiles: ranks are off by at most n / SKETCH
+SMALL_GROUP = 20_000    # values up to which a group is its own bracket; three rank errors are over a row beyond
+GROUP_CELLS = 256       # cells that a bracket is cut into
+
+
+def group_quantiles(values: DataFrame, fractions: Sequence[float], *, small: int = SMALL_GROUP) -> DataFrame:
+    """``(g, n, quantiles)``: exact linear-interpolated quantiles of ``v`` for any number of groups ``g``.
+
+    Everything stays a relation. A mergeable sketch per group brackets every quantile; one pass counts the values below each
+    bracket and in its cells; the next orders the distinct values of the cells that hold the ranks. No group is
+    gathered: what one task orders is a cell of a bracket, or a group of at most ``small`` values. Joins carry no hint, so
+    hot groups are split by the adaptive planner. Null groups and values take no part.
+    """
+    rows = values.where("v is not null and g is not null").select("g", F.col("v").cast("double").alias("v"))
+    margin = 3 / SKETCH
+    points = sorted({min(1.0, max(0.0, f + side * margin)) for f in fractions for side in (-1, 1)})
+    facts = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", points, SKETCH).alias("at"))
+
+    def edge(f: float, side: int) -> Column:
+        p = min(1.0, max(0.0, f + side * margin))
+        end = F.col("least" if side < 0 else "most")
+        return F.when((F.col("n") <= small) | F.lit(p in (0.0, 1.0)), end).otherwise(F.col("at")[points.index(p)])
+
+    def wanted(i: int, f: float) -> Column:
+        spot = (F.col("n") - 1) * F.lit(float(f))
+        return F.struct(F.lit(i).alias("i"), edge(f, -1).alias("lo"), edge(f, 1).alias("hi"), spot.alias("spot"))
+
+    brackets = stable(facts.select("g", "n", F.inline(F.array(*[wanted(i, f) for i, f in enumerate(fractions)]))))
+    # cells of one value where a bracket is a single value; halving keeps the difference of extreme values finite
+    share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+    cell = F.when(F.col("v") < F.col("lo"), -1).otherwise(F.coalesce(F.least(F.floor(share * GROUP_CELLS), F.lit(GROUP_CELLS - 1)), F.lit(0)))
+    inside = rows.join(brackets.select("g", "i", "lo", "hi"), "g").where("v <= hi")
+    cells = inside.groupBy("g", "i", cell.alias("cell")).agg(F.count("*").alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("g", "i").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))
+    spots = brackets.select("g", "i", F.explode(ranks).alias("r"))
+    found = stable(cells.withColumn("before", before).join(spots, ["g", "i"]).where("r >= before and r < before + held").select("g", "i", "r", "before", "lo", "hi"))
+    single = found.where("lo = hi").select("g", "i", "r", F.col("lo").alias("v"))
+    within = rows.join(found.where("lo < hi"), "g").where("v between lo and hi").groupBy("g", "i", "r", "before", "v").agg(F.count("*").alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("g", "i", "r").orderBy("v")) + F.col("before")
+    exact = single.unionByName(within.withColumn("upto", upto).where("r < upto and r >= upto - held").select("g", "i", "r", "v"))
+    ends = exact.groupBy("g", "i").agg(F.min("v").alias("a"), F.max("v").alias("b")).join(brackets.select("g", "n", "i", "spot"), ["g", "i"])
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("spot") - F.floor("spot"))
+    listed = ends.groupBy("g", "n").agg(F.sort_array(F.collect_list(F.struct("i", value.alias("value")))).alias("q"))
+    return listed.select("g", "n", F.transform("q", lambda x: x["value"]).alias("quantiles"))
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> dict[str, list]:
     """Exact quantiles of several numeric columns in shared passes; a column without values is left out."""
     if not columns:

@@ -112,3 +112,28 @@ def test_tile_ends():
     assert O.tile_ends(10, 4) == [3, 6, 8, 10]
     assert O.tile_ends(2, 4) == [1, 2, 2, 2]
     assert math.prod(O.tile_ends(8, 4)) == 2 * 4 * 6 * 8
+
+
+@pytest.mark.parametrize("small", [O.SMALL_GROUP, 0])
+def test_quantiles_of_any_number_of_groups(spark, small):
+    """5,000 groups and one that holds most of the rows; with ``small`` 0 the sketches bracket that group."""
+    hot = 60_000
+    df = spark.range(hot + 12_000).select(F.when(F.col("id") < hot, -1).otherwise(F.col("id") % 5_000).alias("g"), F.when(F.col("id") % 97 > 0, (F.col("id") * 7919 % 10_007).cast("double")).alias("v"))
+    if small == 0:
+        df = df.where("g = -1")
+    fractions = [0, 0.1, 0.5, 0.9, 1]
+    got = {r.g: (r.n, r.quantiles) for r in O.group_quantiles(df, fractions, small=small).collect()}
+    values = {}
+    for r in df.where("v is not null").collect():
+        values.setdefault(r.g, []).append(r.v)
+    assert got.keys() == values.keys() and len(got) == (1 if small == 0 else 5_001)
+    for g, v in values.items():
+        v, (n, q) = sorted(v), got[g]
+        want = [v[math.floor(f * (len(v) - 1))] + (v[math.ceil(f * (len(v) - 1))] - v[math.floor(f * (len(v) - 1))]) * (f * (len(v) - 1) % 1) for f in fractions]
+        assert n == len(v) and q == pytest.approx(want)
+
+
+def test_quantiles_of_groups_without_values(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 1.0), (None, 3.0)], "g string, v double")
+    assert [tuple(r) for r in O.group_quantiles(df, [0.5, 0.5]).collect()] == [("b", 2, [1.0, 1.0])]
+    assert O.group_quantiles(df.where("false"), [0.5]).count() == 0
