@@ -5,7 +5,8 @@ of a host the hashes of its subtrees; Spark counts on how many pages of the host
 the pages again, takes the article's blocks and leaves out those in subtrees that the host repeats on many
 pages. Elements whose tag, role or class says that they are not the article (menus, footers, comments, adverts,
 forms, scripts) go in any case; a class or id says so as a whole (``sidebar``, not ``has-sidebar``), and not of an
-element that holds the page's article. What stands inside an article or main element is no template however often a site prints it, so mirrored articles
+element that holds the page's article. A form around the page's article or most of its text is no form. End tags may be left out: the first element
+of the body ends the head, and an article or main element ends navigation, asides, headers and footers that the page does not close. What stands inside an article or main element is no template however often a site prints it, so mirrored articles
 stay whole with their lists and tables; only blocks of links go from there, when most of the host's pages have them.
 Outside prose goes when half of the host's pages have it.
 """
@@ -46,6 +47,10 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Elements that an implied end does not reach beyond.
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 CONTAINERS = {"html", "body", "article", "main"}
+#: Any other start tag ends an open head.
+HEAD = set("html head title base link meta style script noscript template".split())
+#: An article or main element ends these where the page leaves out an end tag of theirs.
+ENDED = set("nav menu aside header footer".split())
 #: Regions of a page, the best last.
 PAGE, MAIN, ARTICLE = range(3)
 #: Kinds of subtrees: what an article or main element holds is no template but for links; prose outside, and what is not prose, can be one.
@@ -86,9 +91,18 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
     """Blocks (region, indices of the enclosing subtrees, text) in page order, and subtrees (hash, kind).
 
     Indices point into the subtrees; prose is text in paragraphs, headings or quotes that is not mostly links.
-    Elements that begin at ``spared`` are not dropped by their names.
+    Elements that begin at ``spared`` are not dropped by their names or as forms: a form around the page is no form.
     """
     hidden: list[tuple[int, tuple[int, ...], int]] = []
+    forms: list[tuple[int, tuple[int, ...]]] = []
+    unclosed: dict[str, bool] = {}
+
+    def lacks_end(tag: str) -> bool:
+        if tag not in unclosed:
+            begins, ends = (len(re.findall(rf"<{x}{tag}\b", source, re.I)) for x in ("", "/"))
+            unclosed[tag] = begins > ends
+        return unclosed[tag]
+
     shown = False
     blocks: list[tuple[int, list[int], str]] = []
     subtrees: list[tuple[int, int]] = []
@@ -121,6 +135,8 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
         parent.holds = parent.holds or done.holds or (done.region != PAGE and not done.dropped)
         if done.begins and done.named and done.text:
             hidden.append((done.begins, done.named, done.text - done.links))
+        if done.tag == "form" and done.named and done.prose:
+            forms.append((done.text - done.links, done.named))
         if done.index >= 0 and done.text and not done.dropped:
             if done.region != PAGE:
                 kind = LINKS_INSIDE if done.links * 2 >= done.text else KEPT
@@ -158,6 +174,9 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
             elif tag in BLOCKS:
                 flush()
             continue
+        if tag not in HEAD and any(e.tag == "head" for e in stack[1:4]):
+            while any(e.tag == "head" for e in stack):
+                close()
         if tag in RAW:
             closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             at = closing.end() if closing else end
@@ -175,6 +194,10 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
         if tag in VOID:
             continue
         attributes = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(found[3])} if found[3] else {}
+        if tag in ("article", "main") or attributes.get("role") == "main":
+            first = next((i for i, e in enumerate(stack) if e.tag in ENDED and e.dropped and lacks_end(e.tag)), len(stack))
+            while len(stack) > first:
+                close()
         parent = stack[-1]
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
         role = attributes.get("role")
@@ -182,8 +205,8 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
         if tag in CONTAINERS:
             dropped, by_name = tag == "article" and _says(names, COMMENT_NAMES), False
         else:
-            dropped = tag in DROPPED or role in DROPPED_ROLES or (parent.region == PAGE and tag == "header")
-            by_name = lt not in spared and (_says(names, DROPPED_NAMES) or (parent.region == PAGE and _says(names, {"header"})))
+            dropped = (tag in DROPPED and tag != "form") or role in DROPPED_ROLES or (parent.region == PAGE and tag == "header")
+            by_name = lt not in spared and (tag == "form" or _says(names, DROPPED_NAMES) or (parent.region == PAGE and _says(names, {"header"})))
         named = None if dropped or parent.named is None else parent.named + (lt,) * by_name
         dropped = dropped or by_name or parent.dropped
         begins = ARTICLE if tag == "article" else MAIN if tag == "main" or role == "main" else PAGE
@@ -203,6 +226,11 @@ def parse(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple
         nearest = [x for x in hidden if len(x[1]) == few]
         if any(begins == MAIN for begins, _, _ in nearest) or sum(n for _, _, n in nearest) >= sum(len(text) for _, _, text in blocks):
             return parse(source, spared.union(*(named for _, named, _ in nearest)))
+    if forms and not shown:
+        # without an article, a form that holds prose and most of the text is the page itself
+        most, named = max(forms)
+        if most >= sum(len(text) for _, _, text in blocks):
+            return parse(source, spared.union(named))
     return blocks, subtrees
 
 
