@@ -166,3 +166,19 @@ def _check(spark, d):
         one = one.select(F.lit(name).alias("strategy"), "fold", "violations")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def _expanding_positions(n):
+    """Three origins, the training rows before the last twentieth as every second one."""
+    for i in range(1, 4):
+        cut = i * n // 4
+        yield [*range(0, cut - cut // 20, 2)], range(cut, cut + n // 4)
+
+
+@query("splitter_folds", """with r as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as pos, count(*) over () as n from orders),
+    f as (select v - 1 as fold, v as i from range(1, 4) t(v)), c as (select *, i * n // 4 as cut from r, f)
+    select o_orderkey, fold, 'train' as role from c where pos < cut - cut // 20 and pos % 2 = 0 union all select o_orderkey, fold, 'validate' from c where pos >= cut and pos < cut + n // 4""")
+def _splitter(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    folds = S.make_folds(orders, {"strategy": "time", "time_column": "o_orderdate"}, "o_orderkey", 3, splitter=S.by_positions(_expanding_positions))
+    return folds.select("o_orderkey", "fold", "role")
