@@ -58,14 +58,15 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sizes, digests, kept = [], [], []
-            for text in texts(batch, "text"):
-                found = shingles(text, hashes)
-                sizes.append(len(found))
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                kept.append((found[:K] ^ np.uint64(1 << 63)).view(np.int64))  # signed values in the same order
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))],
-                                             ["doc_id", "n_shingles", "digest", "sketch"])
+            for part in slices(batch, "text", SLICE_BYTES):
+                sizes, digests, kept = [], [], []
+                for text in texts(part, "text"):
+                    found = shingles(text, hashes)
+                    sizes.append(len(found))
+                    digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    kept.append((found[:K] ^ np.uint64(1 << 63)).view(np.int64))  # signed values in the same order
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))],
+                                                 ["doc_id", "n_shingles", "digest", "sketch"])
 
     return inner.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sketch array<bigint>")
 
@@ -106,8 +107,10 @@ SMALL_LIST = 12
 BLOCK = 1024
 #: Shingles that count as one member, so that the full sets of a block stay below about BLOCK * UNIT hashes (16 MB).
 UNIT = 2048
+#: Rows of a meeting that become Python objects at a time.
+ROWS_AT_A_TIME = 512
 #: Bytes of text whose sets are built at a time, unless one text is longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _common(sketches_of: list[np.ndarray], rows: int, start: int, block: int = 256, wide: int = 2048):
@@ -276,12 +279,13 @@ def _by_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list
             yield key, [m for m, _ in left], [m for m, _ in right], [r for _, r in left + right]
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:4] != key:
-                yield from met()
-                key, left, right = row[:4], [], []
-            _, rep, component, n, sketch, kept = row[4:10]
-            (left if row[4] else right).append((Member(rep, component, n, np.array(sketch, np.int64), frozenset(kept)), row))
+        for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
+            for row in zip(*(c.to_pylist() for c in batch.slice(start, ROWS_AT_A_TIME).columns)):
+                if row[:4] != key:
+                    yield from met()
+                    key, left, right = row[:4], [], []
+                _, rep, component, n, sketch, kept = row[4:10]
+                (left if row[4] else right).append((Member(rep, component, n, np.array(sketch, np.int64), frozenset(kept)), row))
     yield from met()
 
 
