@@ -172,7 +172,7 @@ def _expanding_positions(n):
     """Three origins, the training rows before the last twentieth as every second one."""
     for i in range(1, 4):
         cut = i * n // 4
-        yield [*range(0, cut - cut // 20, 2)], range(cut, cut + n // 4)
+        yield range(0, cut - cut // 20, 2), range(cut, cut + n // 4)
 
 
 @query("splitter_folds", """with r as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as pos, count(*) over () as n from orders),
