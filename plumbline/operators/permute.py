@@ -27,7 +27,12 @@ class RankMap:
     b: int
 
     def __call__(self, rank: Column) -> Column:
-        return (rank * F.lit(self.a).cast("bigint") + F.lit(self.b).cast("bigint")) % F.lit(self.n).cast("bigint")
+        kind = "bigint" if self.a * self.n + self.b < 1 << 63 else "decimal(18,0)"     # products of up to 36 digits stay exact
+        return ((rank.cast(kind) * F.lit(self.a).cast(kind) + F.lit(self.b).cast(kind)) % F.lit(self.n).cast(kind)).cast("bigint")
+
+    def inverse(self) -> RankMap:
+        a = pow(self.a, -1, self.n)
+        return RankMap(self.n, a, -a * self.b % self.n)
 
 
 def _draw(*parts) -> int:
@@ -51,9 +56,12 @@ def ranked(df: DataFrame, key: str, seed: int | str = 0) -> tuple[DataFrame, int
 
 
 def permuted(rows: DataFrame, n: int, column: str, seed: int | str) -> DataFrame:
-    """Ranked rows with the values of ``column`` permuted among all of them; their own ``_rank`` stays."""
-    values = rows.select(F.col("_rank").alias("_from"), F.col(f"`{column}`"))
-    return rows.drop(column).withColumn("_from", rank_map(n, seed, column)(F.col("_rank"))).join(values, "_from").drop("_from")
+    """Ranked rows with the values of ``column`` permuted among all of them; their own ``_rank`` stays.
+
+    Only ranks and values move: each value goes to the rank that takes it, so rows that are partitioned by ``_rank`` stay in place.
+    """
+    values = rows.select(rank_map(n, seed, column).inverse()(F.col("_rank")).alias("_to"), F.col(f"`{column}`"))
+    return rows.drop(column).join(values, F.col("_rank") == F.col("_to")).drop("_to")
 
 
 def versions(rows: DataFrame, n: int, columns: Sequence[str], keep: Sequence[str], seed: int | str = 0) -> DataFrame:

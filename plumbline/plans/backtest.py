@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 from plumbline.operators import decide as D
 from plumbline.operators.encode import check_framing
 from plumbline.operators.folds import boundary_split, origin_masks
+from plumbline.operators.metrics import roc_auc
 from plumbline.operators.permute import permuted, ranked
 from plumbline.operators.profile import correlations, looks_like_classes
-from plumbline.plans.model import CONCURRENT_FITS, Learner, adversarial_auc, class_list, default_metric, fit, forest, score_frame, tree
+from plumbline.plans.model import CONCURRENT_FITS, Learner, adversarial_auc, class_list, default_metric, fit, forest, hold_out, score_frame, side_scores, tree
+from plumbline.session import kept
+
+PART_ROWS = 50_000      # least rows of a part of the ranked table
 
 
 def future_features(df: DataFrame, target: str, suspects: Sequence[str]) -> DataFrame:
@@ -30,14 +35,17 @@ def split_design(df: DataFrame, target: str, time: str, key: str, *, n_origins:
         return None
     classes = class_list(df, target) if looks_like_classes(df, target) else None
     metric = metric or default_metric(classes)
-    rows = []
-    for i in sorted(masks.sides):
-        scores = []
-        for role in ("naive_train", "embargo_train"):
-            fitted = fit(masks.part(i, role), target, learner or forest(), key=key, classes=classes)
-            pred = fitted.predict(masks.part(i, "test"), [key, F.col(f"`{target}`").alias("label")])
-            scores.append(float(score_frame(pred, metric, classes).first().score))
-        rows.append((i, *scores, True))
+
+    def one(side: tuple[int, str]) -> float:
+        i, role = side
+        fitted = fit(masks.part(i, role), target, learner or forest(), key=key, classes=classes)
+        pred = fitted.predict(masks.part(i, "test"), [key, F.col(f"`{target}`").alias("label")])
+        return float(score_frame(pred, metric, classes).first().score)
+
+    origins = sorted(masks.sides)
+    with kept(masks.table), ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        scores = list(pool.map(one, [(i, role) for i in origins for role in ("naive_train", "embargo_train")]))
+    rows = [(i, *scores[2 * at:2 * at + 2], True) for at, i in enumerate(origins)]
     pairs = df.sparkSession.createDataFrame(rows, "origin bigint, naive double, corrected double, higher_is_better boolean")
     return D.backtest_gap(pairs.withColumn("metric", F.lit(metric)), ["metric"])
 
@@ -61,26 +69,32 @@ def series_null(df: DataFrame, target: str, time: str, key: str, series: str, *,
                 learner: Learner | None = None, seed: int = 0, exclude: Sequence[str] = ()) -> DataFrame | None:
     """One row: AUC with the true series labels against a band of permuted labels.
 
-    The rows are ranked and written once; each permutation maps the ranks and is one hash join.
+    The rows are ranked once and kept in parts by rank; a permutation moves ranks and labels only and is joined once.
+    What a model says of the held-out rows is a table of counts, and all areas are measured together.
     """
     marked = boundary_split(df, time, key, test_frac)
     if marked is None:
         return None
     rows, n = ranked(marked, key, seed)
-    before, after = _sides(rows.drop("_rank"))
-    observed = adversarial_auc(before, after, target, key, learner=learner or tree(), exclude=exclude)
-    if observed is None:
+    spark = df.sparkSession
+    unseen = [c for c in dict.fromkeys((target, *exclude)) if c not in (key, series)]
+    if not set(marked.columns) - {"after", key, target, *exclude}:
         return None
-
-    def one(i: int) -> float | None:
-        b, a = _sides(permuted(rows, n, series, f"{seed}/{i}").drop("_rank"))
-        return adversarial_auc(b, a, target, key, learner=learner or tree(), exclude=exclude)
-
-    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        null = [(auc,) for auc in pool.map(one, range(n_perm)) if auc is not None]
-    if not null:
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART_ROWS))
+    rows = hold_out(rows.withColumn("is_test", F.col("after").cast("int")).drop("after", *unseen), key).repartition(parts, "_rank")
+
+    def one(i: int) -> DataFrame:
+        both = (rows if i < 0 else permuted(rows, n, series, f"{seed}/{i}")).drop("_rank", *[c for c in (target, *exclude) if c != key])
+        with kept(both):
+            return side_scores(both, key, learner=learner).withColumn("version", F.lit(i))
+
+    with kept(rows), ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        scores = reduce(DataFrame.unionByName, pool.map(one, range(-1, n_perm)))
+        aucs = {r.version: r.roc_auc for r in roc_auc(scores, ["version"], F.col("n")).collect()}
+    observed = aucs.get(-1)
+    null = [(aucs[i],) for i in range(n_perm) if aucs.get(i) is not None]
+    if observed is None or not null:
         return None
-    spark = df.sparkSession
     one = spark.createDataFrame([("all", observed)], "_k string, observed double")
     return D.null_band(one, spark.createDataFrame(null, "score double").withColumn("_k", F.lit("all")), ["_k"]).drop("_k")
 
@@ -91,6 +105,12 @@ def audit_backtest(df: DataFrame, target: str, time: str, key: str, *, suspects:
     for c in (target, time):
         if c not in df.columns:
             raise ValueError(f"column {c!r} is not in the table")
+    with kept(df):
+        return _findings(df, target, time, key, suspects, series, n_origins, n_perm, learner)
+
+
+def _findings(df: DataFrame, target: str, time: str, key: str, suspects: Sequence[str], series: str | None, n_origins: int, n_perm: int,
+              learner: Learner | None) -> DataFrame:
     spark = df.sparkSession
     rows: list[tuple] = []
     for r in future_features(df, target, suspects).collect():

@@ -39,3 +39,17 @@ def test_drivers_of_a_fitted_model(spark):
     out = {r.column: r for r in fitted_drivers(fitted, df, "id").collect()}
     assert out["x"].base > 0.98 and out["x"].importance > 0.3 and abs(out["noise"].importance) < 0.02
     assert fitted_drivers(fitted, df.where("false"), "id").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 97, 30030, 10**10 + 19])
+def test_inverse_rank_maps(spark, n):
+    m = rank_map(n, 3, "x")
+    df = spark.createDataFrame([(r,) for r in {0, n // 2, n - 1}], "r long")
+    assert df.where(m.inverse()(m(F.col("r"))) != F.col("r")).count() == 0
+
+
+def test_permuted_ranks_and_values_only_move(spark):
+    rows, n = ranked(spark.range(60).select("id", (F.col("id") * 3).alias("v")), "id")
+    m, own = rank_map(n, 5, "v"), {r._rank: r.v for r in rows.collect()}
+    out = permuted(rows.repartition(3, "_rank"), n, "v", 5)
+    assert {r._rank: r.v for r in out.collect()} == {r: own[(m.a * r + m.b) % n] for r in range(n)}
