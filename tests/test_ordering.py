@@ -137,3 +137,21 @@ def test_quantiles_of_groups_without_values(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 1.0), (None, 3.0)], "g string, v double")
     assert [tuple(r) for r in O.group_quantiles(df, [0.5, 0.5]).collect()] == [("b", 2, [1.0, 1.0])]
     assert O.group_quantiles(df.where("false"), [0.5]).count() == 0
+
+
+def test_quantiles_of_large_groups_move_no_rows(spark):
+    df = spark.range(3_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 1_009).cast("double").alias("v"))
+    plan = O._bracketed_quantiles(df, [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    mixed = df.unionByName(spark.range(40).select((F.col("id") + 10).alias("g"), F.col("id").cast("double").alias("v")))
+    got = {r.g: (r.n, r.quantiles) for r in O.group_quantiles(mixed, [0.0, 0.25], small=100).collect()}
+    assert len(got) == 42 and got[10] == (1, [0.0, 0.0]) and got[0][0] == 1_500
+    v = sorted(float(i * 7 % 1_009) for i in range(0, 3_000, 2))
+    assert got[0][1] == pytest.approx([v[0], v[374] + (v[375] - v[374]) * 0.75])
+
+
+def test_more_large_groups_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(O, "LARGE_GROUPS", 2)
+    df = spark.range(1_000).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 4 + 1).alias("g"), F.col("id").cast("double").alias("v"))
+    got = {r.g: (r.n, r.quantiles) for r in O.group_quantiles(df, [0.5], small=50).collect()}
+    assert got == {0: (600, [299.5]), **{g: (100, [600 + 4 * 49.5 + g - 1]) for g in range(1, 5)}}
