@@ -9,6 +9,7 @@ from plumbline.plans import backtest as B
 from plumbline.plans import gates as G
 from plumbline.plans import jobs as W
 from plumbline.plans import model as L
+from plumbline.session import even_parts
 
 
 def noise(seed, key="id"):
@@ -192,3 +193,26 @@ def test_level_statistics_without_a_unique_column(spark):
     fitted = L.fit(df, "y", L.tree(), classes=[0, 1])
     hits = fitted.predict(df, [F.col("y").alias("label")]).agg(F.avg((F.col("label") == F.col("pred")).cast("double"))).first()[0]
     assert hits > 0.85
+
+
+# ---- tables that come as one task --------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def single(spark):
+    """40,000 rows that are read by one task, as a file with one row group is."""
+    return spark.range(0, 40_000, 1, 1).select("id", F.col("id").alias("at"), (F.col("id") % 7).alias("x"), F.when(F.col("id") % 7 > 3, "a").otherwise("b").alias("y"))
+
+
+def test_parts_are_neither_small_nor_large():
+    assert [even_parts(n, 12) for n in (0, 1, 10_000, 10_001, 600_000, 6_000_000, 36_000_000)] == [1, 1, 1, 2, 24, 24, 144]
+
+
+@pytest.mark.parametrize("folds", [None, {"strategy": "time", "time_column": "at"}])
+def test_folds_of_a_single_task_are_fitted_by_several(spark, single, folds, monkeypatch):
+    seen, fit = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda train, *a, **more: seen.append(train.rdd.getNumPartitions()) or fit(train, *a, **more))
+    cv = L.cross_validate(single, "y", "id", k=2, folds=folds, learner=L.tree(2))
+    assert seen == [4, 4]
+    assert cv.fold_scores == [1.0, 1.0]
+    assert cv.oof.count() == cv.oof.select("id").distinct().count() == (40_000 if folds is None else 26_666)
+
