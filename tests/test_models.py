@@ -216,3 +216,19 @@ def test_folds_of_a_single_task_are_fitted_by_several(spark, single, folds, monk
     assert cv.fold_scores == [1.0, 1.0]
     assert cv.oof.count() == cv.oof.select("id").distinct().count() == (40_000 if folds is None else 26_666)
 
+
+def _kept_tables(monkeypatch, module):
+    """The levels at which tables are kept when they are estimated on."""
+    seen, estimate = [], module.cross_validate
+    monkeypatch.setattr(module, "cross_validate", lambda df, *a, **more: seen.append((df.storageLevel.useMemory, df.rdd.getNumPartitions())) or estimate(df, *a, **more))
+    return seen
+
+
+def test_a_climb_reads_its_table_once(spark, single, monkeypatch):
+    seen = _kept_tables(monkeypatch, G)
+    climb = G.Climb(single, "y", "id", dict(k=2, learner=L.tree(2), cleaning={"columns_to_drop": ["x"]}))
+    climb.keep_columns(["x"])
+    assert seen == [(True, 4)] * 2
+    assert climb.records().first().accepted
+    assert climb.df is single and not single.storageLevel.useMemory
+
