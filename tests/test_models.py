@@ -232,3 +232,9 @@ def test_a_climb_reads_its_table_once(spark, single, monkeypatch):
     assert climb.records().first().accepted
     assert climb.df is single and not single.storageLevel.useMemory
 
+
+def test_check_validation_reads_its_table_once(spark, single, monkeypatch):
+    seen = _kept_tables(monkeypatch, W)
+    gap = W.check_validation(single, "y", "id", {"strategy": "time", "time_column": "at"}, k=2, learner=L.tree(2)).first()
+    assert seen == [(True, 4)] * 2
+    assert gap.strategy == "time"
