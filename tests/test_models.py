@@ -3,13 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import session
 from plumbline.functions.columns import keyed_hash
 from plumbline.operators.userfeatures import UserFeature
 from plumbline.plans import backtest as B
 from plumbline.plans import gates as G
 from plumbline.plans import jobs as W
 from plumbline.plans import model as L
-from plumbline.session import even_parts
 
 
 def noise(seed, key="id"):
@@ -197,14 +197,30 @@ def test_level_statistics_without_a_unique_column(spark):
 
 # ---- tables that come as one task --------------------------------------------------------------
 
-@pytest.fixture(scope="module")
-def single(spark):
-    """40,000 rows that are read by one task, as a file with one row group is."""
+@pytest.fixture
+def single(spark, monkeypatch):
+    """40,000 rows that are read by one task, as a file with one row group is; parts are small enough for them to be dealt."""
+    monkeypatch.setattr(session, "MOST_ROWS", 10_000)
     return spark.range(0, 40_000, 1, 1).select("id", F.col("id").alias("at"), (F.col("id") % 7).alias("x"), F.when(F.col("id") % 7 > 3, "a").otherwise("b").alias("y"))
 
 
 def test_parts_are_neither_small_nor_large():
-    assert [even_parts(n, 12) for n in (0, 1, 10_000, 10_001, 600_000, 6_000_000, 36_000_000)] == [1, 1, 1, 2, 24, 24, 144]
+    assert [session.even_parts(n, 12) for n in (0, 1, 250_000, 250_001, 600_000, 6_000_000, 36_000_000)] == [None, None, None, 24, 24, 24, 144]
+
+
+def test_rows_of_one_task_stay_as_they_lie(spark):
+    df = spark.range(0, 1_000, 1, 3)
+    with session.dealt(df) as rows:
+        assert rows.storageLevel.useMemory and rows.rdd.glom().map(len).collect() == df.rdd.glom().map(len).collect()
+    assert not rows.storageLevel.useMemory
+
+
+def test_both_arms_of_a_pair_run_on_one_dealt_table(spark, single, monkeypatch):
+    seen, run = [], W.run_cv
+    monkeypatch.setattr(W, "run_cv", lambda df, *a, **more: seen.append((df.storageLevel.useMemory, df.rdd.getNumPartitions())) or run(df, *a, **more))
+    rows = W.paired_run(single, "y", "id", "accuracy", W.Plans(), learner=L.tree(2), k=2).collect()
+    assert [(r.baseline, r.treatment, r.error) for r in rows] == [(1.0, 1.0, None)]
+    assert len(seen) == 2 and all(held and parts > 1 for held, parts in seen)
 
 
 @pytest.mark.parametrize("folds", [None, {"strategy": "time", "time_column": "at"}])
